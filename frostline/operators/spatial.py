@@ -104,6 +104,11 @@ def pairs_within(points: DataFrame, places: DataFrame, radius_m: float, *, point
     return near.where((F.col("distance_m") < radius_m) if strict else (F.col("distance_m") <= radius_m))
 
 
+def distinct_positions(base: DataFrame, at: tuple[str, str] = ("mid_lat", "mid_lng")) -> DataFrame:
+    """Positions of a table, to be stored once and handed to several joins on the same base."""
+    return _positions(base, at)
+
+
 def _positions(df: DataFrame, at: tuple[str, str], *aggregates: Column) -> DataFrame:
     """One row per position, under the names ``_lat`` and ``_lng``."""
     located = df.dropna(subset=list(at)).select(F.col(at[0]).alias("_lat"), F.col(at[1]).alias("_lng"), "*")
@@ -120,20 +125,41 @@ def _attach(base: DataFrame, at: tuple[str, str], by_position: DataFrame) -> Dat
     ).drop("_klat", "_klng")
 
 
-def radius_count(base: DataFrame, targets: DataFrame, radius_m: float, name: str, *, base_at=("mid_lat", "mid_lng"),
-                 target_at=("latitude", "longitude")) -> DataFrame:
+def radius_counts(base: DataFrame, targets: dict[str, DataFrame], radius_m: float, *, base_at=("mid_lat", "mid_lng"),
+                  target_at=("latitude", "longitude"), positions: DataFrame | None = None) -> DataFrame:
+    """Add one column per entry of ``targets``: how many of its rows lie within the radius of each base row.
+
+    All tables share one distance join. ``positions`` are the base's ``distinct_positions`` when they are already at
+    hand; then the base is read once.
+    """
+    kinds = [df.select(F.col(target_at[0]).alias("_tlat"), F.col(target_at[1]).alias("_tlng"), F.lit(name).alias("_kind"))
+             for name, df in targets.items()]
+    together = kinds[0]
+    for kind in kinds[1:]:
+        together = together.unionByName(kind)
+    points = together.dropna().groupBy("_tlat", "_tlng").agg(*[
+        F.count_if(F.col("_kind") == name).alias(name) for name in targets])
+    if positions is None:
+        positions = _positions(base, base_at)
+    near = pairs_within(points, positions, radius_m, point_at=("_tlat", "_tlng"), place_at=("_lat", "_lng"))
+    counts = near.groupBy("_lat", "_lng").agg(*[F.sum(name).alias(name) for name in targets])
+    return _attach(base, base_at, counts).withColumns({
+        name: F.coalesce(F.col(name), F.lit(0)).cast("bigint") for name in targets})
+
+
+def radius_count(base: DataFrame, targets: DataFrame, radius_m: float, name: str, **at) -> DataFrame:
     """Add ``name``: how many targets lie within the radius of each base row."""
-    points = _positions(targets, target_at, F.count("*").alias("_n")).select(
-        F.col("_lat").alias("_tlat"), F.col("_lng").alias("_tlng"), "_n")
-    near = pairs_within(points, _positions(base, base_at), radius_m, point_at=("_tlat", "_tlng"),
-                        place_at=("_lat", "_lng"))
-    counts = near.groupBy("_lat", "_lng").agg(F.sum("_n").alias(name))
-    return _attach(base, base_at, counts).withColumn(name, F.coalesce(F.col(name), F.lit(0)).cast("bigint"))
+    return radius_counts(base, {name: targets}, radius_m, **at)
+
+
+def radius_flags(base: DataFrame, targets: dict[str, DataFrame], radius_m: float, **at) -> DataFrame:
+    """Add one boolean per entry of ``targets``: whether any of its rows lies within the radius."""
+    return radius_counts(base, targets, radius_m, **at).withColumns({name: F.col(name) > 0 for name in targets})
 
 
 def radius_flag(base: DataFrame, targets: DataFrame, radius_m: float, name: str, *, base_at=("mid_lat", "mid_lng"),
-                target_at=("latitude", "longitude"), metric: str = "planar", carry: tuple[str, str] | None = None
-                ) -> DataFrame:
+                target_at=("latitude", "longitude"), metric: str = "planar", carry: tuple[str, str] | None = None,
+                positions: DataFrame | None = None) -> DataFrame:
     """Add ``name``: whether any target lies within the radius.
 
     ``carry=(column, order)`` also adds that column of the first target in reach, by ``order``.
@@ -143,8 +169,9 @@ def radius_flag(base: DataFrame, targets: DataFrame, radius_m: float, name: str,
         aggregates = [F.min(F.struct(F.col(carry[1]).alias("_o"), F.col(carry[0]).alias("_v"))).alias("_first")]
     points = _positions(targets, target_at, *aggregates)
     points = points.withColumnRenamed("_lat", "_tlat").withColumnRenamed("_lng", "_tlng")
-    near = pairs_within(points, _positions(base, base_at), radius_m, point_at=("_tlat", "_tlng"),
-                        place_at=("_lat", "_lng"), metric=metric)
+    if positions is None:
+        positions = _positions(base, base_at)
+    near = pairs_within(points, positions, radius_m, point_at=("_tlat", "_tlng"), place_at=("_lat", "_lng"), metric=metric)
     found = [F.lit(True).alias(name)] + ([F.min("_first").getField("_v").alias(carry[0])] if carry else [])
     if carry:
         hits = near.groupBy("_lat", "_lng").agg(*[F.first(found[0]).alias(name), found[1]])
@@ -155,7 +182,7 @@ def radius_flag(base: DataFrame, targets: DataFrame, radius_m: float, name: str,
 
 def nearest_join(base: DataFrame, targets: DataFrame, radius_m: float, target_id: str, columns: list[str], *,
                  base_at=("mid_lat", "mid_lng"), target_at=("latitude", "longitude"), metric: str = "planar",
-                 strict: bool = False, first_radius_m: float | None = None) -> DataFrame:
+                 strict: bool = False, first_radius_m: float | None = None, positions: DataFrame | None = None) -> DataFrame:
     """Add ``columns`` and ``distance_m`` of the nearest target within the radius; ties go to the lowest id.
 
     ``first_radius_m`` looks in a small radius first and only sends what stays unmatched to the full one. The
@@ -170,7 +197,8 @@ def nearest_join(base: DataFrame, targets: DataFrame, radius_m: float, target_id
                             metric=metric, strict=strict)
         return near.groupBy("_lat", "_lng").agg(F.min(F.struct("distance_m", "_best")).alias("_hit"))
 
-    positions = _positions(base, base_at)
+    if positions is None:
+        positions = _positions(base, base_at)
     if first_radius_m is None or first_radius_m >= radius_m:
         hits = search(positions, radius_m)
     else:

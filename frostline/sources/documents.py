@@ -184,7 +184,9 @@ def daily_rows(documents: DataFrame) -> DataFrame:
     df = documents.withColumn("_d", F.from_json("document", shape)["daily"])
     fields = ["time", "snowfall_sum", "temperature_2m_max", "temperature_2m_min", "wind_speed_10m_max",
               "precipitation_sum", "rain_sum", "weather_code"]
-    rows = df.select(F.inline(F.arrays_zip(*[F.col(f"_d.{f}").alias(f) for f in fields]))).where(
+    kinds = {"time": "string", "weather_code": "int"}
+    series = [F.coalesce(F.col(f"_d.{f}"), F.array().cast(f"array<{kinds.get(f, 'double')}>")).alias(f) for f in fields]
+    rows = df.select(F.inline(F.arrays_zip(*series))).where(
         F.col("time").isNotNull())
     return rows.select(
         F.col("time").try_cast("date").alias("date"), F.col("snowfall_sum").alias("snowfall_cm"),

@@ -26,16 +26,18 @@ def plain_text(html: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(html, r"<[^>]+>", " "), r"\s+", " ")
 
 
+def _sentences(number: int, pattern: str, groups: list[str]) -> Column:
+    """Matches of one pattern as an array of structs with all closure fields; fields it lacks are blank."""
+    parts = F.arrays_zip(*[
+        F.regexp_extract_all("_t", F.lit(pattern), i + 1).alias(name) for i, name in enumerate(groups)])
+    return F.transform(parts, lambda m: F.struct(F.lit(number).alias("pattern"), *[
+        (F.trim(m[f]) if f in groups else F.lit("")).alias(f) for f in FIELDS]))
+
+
 def closures_in_text(releases: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """One row per closure sentence; a sentence that fits several patterns gives a row for each."""
     df = releases.select(*keep, plain_text(F.col(text)).alias("_t"))
-    found = []
-    for number, (pattern, groups) in enumerate(PATTERNS):
-        texts = [F.regexp_extract_all("_t", F.lit(pattern), i + 1).alias(name) for i, name in enumerate(groups)]
-        struct = F.arrays_zip(*texts)
-        found.append(F.transform(struct, lambda m, groups=groups, number=number: F.struct(
-            F.lit(number).alias("pattern"),
-            *[(F.trim(m[f]) if f in groups else F.lit("")).alias(f) for f in FIELDS])))
+    found = [_sentences(number, pattern, groups) for number, (pattern, groups) in enumerate(PATTERNS)]
     rows = df.select(*keep, F.explode(F.concat(*found)).alias("_c"))
     return rows.select(*keep, *[
         (F.initcap(F.col(f"_c.{f}")) if f == "status" else F.col(f"_c.{f}")).alias(f) for f in FIELDS],
