@@ -36,9 +36,6 @@ def main(folder: str, names: list[str]) -> int:
     spark = build_session(master="local[8]", spark__sql__shuffle__partitions="8", spark__ui__enabled="false",
                           spark__driver__memory="16g", spark__ui__showConsoleProgress="false")
     spark.sparkContext.setLogLevel("ERROR")
-    con = duckdb.connect()
-    for t in TABLES:
-        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
     oracle, bad = oracle_sql(), []
     for name in names or list(QUERIES):
         start = time.time()
@@ -52,6 +49,9 @@ def main(folder: str, names: list[str]) -> int:
         if name not in oracle:
             print(f"{name}: {len(got)} rows, no SQL  [{took:.1f}s]", flush=True)
             continue
+        con = duckdb.connect()
+        for t in TABLES:
+            con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
         start = time.time()
         try:
             want = con.execute(oracle[name]).df()

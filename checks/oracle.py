@@ -311,37 +311,51 @@ where not (exists (select 1 from ora_edges e where e.src = a.node and e.dst = b.
     "ora_all_edges": """
 select * from ora_edges union all select a, b, segment_id, length_m, '', alng, alat, blng, blat from ora_stitch
 union all select b, a, segment_id, length_m, '', blng, blat, alng, alat from ora_stitch""",
-    "ora_links": "select distinct src as a, dst as b from ora_all_edges union select distinct dst, src from ora_all_edges",
-    "ora_component": """/* using key (node, label) using key (node) */
-select node, node from ora_nodes
+    # Whole-number keys keep the recursive steps small.
+    "ora_numbered": "select node, lng, lat, row_number() over (order by node) as no from ora_nodes",
+    "ora_links": """
+select distinct a.no as a, b.no as b from (select src, dst from ora_all_edges union select dst, src from ora_all_edges) e
+join ora_numbered a on a.node = e.src join ora_numbered b on b.node = e.dst""",
+    "ora_component": """/* using key (no, label) using key (no) */
+select no, no from ora_numbered
 union
-select l.b, min(c.label) from ora_component c join ora_links l on l.a = c.node join recurring.ora_component k on k.node = l.b
+select l.b, min(c.label) from ora_component c join ora_links l on l.a = c.no join recurring.ora_component k on k.no = l.b
 where c.label < k.label group by l.b""",
     "ora_main": """
-select n.* from ora_nodes n join ora_component c using (node) where c.label = (select label from ora_component group by label order by count(*) desc, label limit 1)""",
+select n.* from ora_numbered n join ora_component c using (no) where c.label = (select label from ora_component group by label order by count(*) desc, label limit 1)""",
     "ora_snapped": f"""
-select route_id, day_offset, f.node as origin, t.node as target from (
-  select r.route_id, r.day_offset, n.node from fx_requests r join ora_main n on abs(r.from_lat - n.lat) < 1e-2 and {hav('r.from_lat', 'r.from_lng', 'n.lat', 'n.lng')} < 1000
+select route_id, day_offset, f.no as origin, t.no as target from (
+  select r.route_id, r.day_offset, n.no from fx_requests r join ora_main n on abs(r.from_lat - n.lat) < 1e-2 and {hav('r.from_lat', 'r.from_lng', 'n.lat', 'n.lng')} < 1000
   qualify row_number() over (partition by r.route_id order by {hav('r.from_lat', 'r.from_lng', 'n.lat', 'n.lng')}, n.node) = 1) f
-join (select r.route_id, n.node from fx_requests r join ora_main n on abs(r.to_lat - n.lat) < 1e-2 and {hav('r.to_lat', 'r.to_lng', 'n.lat', 'n.lng')} < 1000
+join (select r.route_id, n.no from fx_requests r join ora_main n on abs(r.to_lat - n.lat) < 1e-2 and {hav('r.to_lat', 'r.to_lng', 'n.lat', 'n.lng')} < 1000
   qualify row_number() over (partition by r.route_id order by {hav('r.to_lat', 'r.to_lng', 'n.lat', 'n.lng')}, n.node) = 1) t using (route_id)
-where f.node <> t.node""",
+where f.no <> t.no""",
     "ora_priced": """
-select y.day_offset, e.src, e.dst, e.segment_id, e.length_m, coalesce(p.risk_score, 0) as risk, e.length_m * (1 + 10 * coalesce(p.risk_score, 0)) as cost,
-  y.day_offset || '/' || e.src || '/' || e.dst || '/' || e.segment_id as edge, e.streetname, e.slng, e.slat, e.dlng, e.dlat
-from ora_all_edges e cross join (select distinct day_offset from ora_snapped) y left join fx_predictions p on p.objectid = e.segment_id and p.day_offset = y.day_offset
+select y.day_offset, a.no as src, b.no as dst, e.segment_id, e.length_m, coalesce(p.risk_score, 0) as risk, e.length_m * (1 + 10 * coalesce(p.risk_score, 0)) as cost,
+  row_number() over (order by y.day_offset, e.src, e.dst, e.segment_id) as edge, e.streetname, e.slng, e.slat, e.dlng, e.dlat
+from ora_all_edges e join ora_numbered a on a.node = e.src join ora_numbered b on b.node = e.dst
+cross join (select distinct day_offset from ora_snapped) y left join fx_predictions p on p.objectid = e.segment_id and p.day_offset = y.day_offset
 where e.src <> e.dst""",
-    "ora_paths": """/* using key (day_offset, origin, node, cost, path) using key (day_offset, origin, node) */
-select distinct day_offset, origin, origin, 0.0e0, cast([] as varchar[]) from ora_snapped
+    "ora_steps_out": "select day_offset, src, dst, cost, edge from ora_priced",
+    "ora_paths": """/* using key (day_offset, origin, node, cost) using key (day_offset, origin, node) */
+select distinct day_offset, origin, origin, 0.0e0 from ora_snapped
 union
-select d.day_offset, d.origin, e.dst, min(d.cost + e.cost), arg_min(list_append(d.path, e.edge), d.cost + e.cost)
-from ora_paths d join ora_priced e on e.src = d.node and e.day_offset = d.day_offset
+select d.day_offset, d.origin, e.dst, min(d.cost + e.cost)
+from ora_paths d join ora_steps_out e on e.src = d.node and e.day_offset = d.day_offset
 left join recurring.ora_paths k on k.day_offset = d.day_offset and k.origin = d.origin and k.node = e.dst
 where k.cost is null or d.cost + e.cost < k.cost group by d.day_offset, d.origin, e.dst""",
+    "ora_pred": """
+select k.day_offset, k.origin, k.node, d.node as prev, e.edge from ora_paths k
+join ora_steps_out e on e.dst = k.node and e.day_offset = k.day_offset
+join ora_paths d on d.day_offset = k.day_offset and d.origin = k.origin and d.node = e.src
+where d.cost + e.cost = k.cost qualify row_number() over (partition by k.day_offset, k.origin, k.node order by e.edge) = 1""",
+    "ora_walk": """/* using key (route_id, day_offset, origin, node, edge, back) */
+select s.route_id, s.day_offset, s.origin, p.prev, p.edge, 0 from ora_snapped s join ora_pred p on p.day_offset = s.day_offset and p.origin = s.origin and p.node = s.target
+union all
+select w.route_id, w.day_offset, w.origin, p.prev, p.edge, w.back + 1 from ora_walk w join ora_pred p on p.day_offset = w.day_offset and p.origin = w.origin and p.node = w.node""",
     "ora_hops": """
 select h.route_id, h.day_offset, h.hop, p.* exclude (day_offset) from (
-  select s.route_id, s.day_offset, unnest(k.path) as edge, unnest(range(0, len(k.path))) as hop
-  from ora_snapped s join ora_paths k on k.day_offset = s.day_offset and k.origin = s.origin and k.node = s.target) h
+  select route_id, day_offset, edge, max(back) over (partition by route_id) - back as hop from ora_walk) h
 join ora_priced p using (edge)""",
     "ora_turns": f"""
 select *, lag(bearing) over w as prev, lead(bearing) over w as nxt,
@@ -477,7 +491,7 @@ from fx_requests r join ora_vertices v on {hav('r.from_lat', 'r.from_lng', 'v.la
   lat3 as mid_lat, round((lng1 + lng2 + lng3 + lng4) / 4, 6) as mean_lng from fx_lines""",
     "graph_edges": "select src, dst, segment_id, round(length_m, 3) as length_m from ora_edges",
     "stitched_edges": "select a as src, b as dst, round(length_m, 3) as length_m from ora_stitch union all select b, a, round(length_m, 3) from ora_stitch",
-    "road_components": "select label as component, count(*) as nodes from ora_component group by label",
+    "road_components": "select n.node as component, count(*) as nodes from ora_component c join ora_numbered n on n.no = c.label group by n.node",
     "safest_routes": f"""select route_id, day_offset, cast(round(l) as bigint) as distance_m, cast(round(l / (3.0e4 / 3600)) as bigint) as duration_sec, round(a, 3) as average_risk, round(x, 3) as max_risk,
   {category('a')} as risk_category, matched_segments from (
   select route_id, day_offset, sum(length_m) as l, avg(risk) as a, max(risk) as x, count(distinct segment_id) as matched_segments from ora_hops group by all) r""",
