@@ -116,8 +116,8 @@ from {lineitem} group by l_suppkey, l_linenumber, l_partkey""",
     "fx_lines": f"""
 select objectid, streetname, domi_class, oneway, length_m,
   a_lng as lng1, a_lat as lat1,
-  a_lng + (b_lng - a_lng) * 2.5e-1 + 3.0e-5 as lng2, a_lat + (b_lat - a_lat) * 2.5e-1 as lat2,
-  a_lng + (b_lng - a_lng) * 6.25e-1 as lng3, a_lat + (b_lat - a_lat) * 6.25e-1 - 2.0e-5 as lat3,
+  a_lng + (b_lng - a_lng) * 2.5e-1 + 3.17e-5 as lng2, a_lat + (b_lat - a_lat) * 2.5e-1 as lat2,
+  a_lng + (b_lng - a_lng) * 6.25e-1 as lng3, a_lat + (b_lat - a_lat) * 6.25e-1 - 2.13e-5 as lat3,
   b_lng + end_shift as lng4, b_lat as lat4
 from (
   select objectid, streetname, domi_class, oneway, length_m, end_shift,

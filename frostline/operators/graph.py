@@ -176,7 +176,8 @@ def walk_back(state: DataFrame, wanted: DataFrame, rounds: int) -> DataFrame:
     for power in range(len(jumps) - 1, -1, -1):
         moved = places.join(jumps[power], ["origin", "node"]).select(
             "route_id", "origin", F.col("to").alias("node"), (F.col("back") + 2**power).alias("back"))
-        places = places.unionByName(moved)
+        # Stored, since the next level reads it twice; one row per edge of a path so far.
+        places = cut_lineage(places.unionByName(moved), "places")
     edges = places.join(steps, ["origin", "node"])
     length = F.max("back").over(Window.partitionBy("route_id"))
     return edges.select("route_id", (length - F.col("back")).alias("hop"), F.col("prev").alias("src"),
@@ -193,7 +194,8 @@ def safest_routes(requests: DataFrame, segments: DataFrame, predictions: DataFra
     roads = cut_lineage(road_edges(segments), "edges")
     nodes = cut_lineage(road_nodes(roads), "nodes")
     edges = cut_lineage(roads.unionByName(stitch_edges(nodes, roads)), "edges")
-    main = nodes.join(largest_component(components(nodes, edges)), "node", "left_semi")
+    main = cut_lineage(nodes.join(largest_component(cut_lineage(components(nodes, edges), "components")), "node",
+                                  "left_semi"), "main")
     snapped = snap(snap(requests, main, ("from_lat", "from_lng"), "_from"), main, ("to_lat", "to_lng"), "_to")
     asked = cut_lineage(snapped.where(F.col("_from") != F.col("_to")), "requests")
 
