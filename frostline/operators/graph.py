@@ -14,12 +14,15 @@ from pyspark.sql import functions as F
 from frostline.functions import geo, risk
 from frostline.operators.ordered import running_totals
 from frostline.operators.spatial import near_twins, nearest_join
-from frostline.session import RoundTables, cut_lineage
+from frostline.session import RoundTables, cut_lineage, new_path
 
 # Stitching and snapping distances, bearing change that counts as a turn.
 STITCH_M = 15.0
 SNAP_M = 1000.0
 TURN_DEGREES = 30.0
+# Rounds of a path search between renewals of its cost limits, and between merges of its stored rounds.
+LIMIT_ROUNDS = 4
+MERGE_ROUNDS = 8
 FORWARD_ONLY = ["yes", "true", "FT"]
 BACKWARD_ONLY = ["TF"]
 
@@ -127,34 +130,58 @@ def snap(points: DataFrame, nodes: DataFrame, at: tuple[str, str], name: str) ->
 def least_cost(edges: DataFrame, wanted: DataFrame, max_rounds: int = 100_000) -> tuple[DataFrame, int]:
     """Least cost from each origin to the nodes around it, far enough to settle every wanted (origin, target).
 
-    ``edges`` has (src, dst, segment_id, cost). Each round relaxes the edges out of nodes improved in the round
-    before. Once all targets of an origin are reached, costs above the dearest of them are dropped, which is exact
+    ``edges`` has (src, dst, segment_id, cost). Each round relaxes the edges out of the nodes improved in the round
+    before and stores only what it improved; earlier rounds stay as they are and are looked up by the few candidates of
+    the round. Once all targets of an origin are reached, costs above the dearest of them are dropped, which is exact
     for costs that are not negative. Returns (origin, node, best) with ``best`` = (cost, round, prev, segment_id),
     and the number of rounds.
     """
     spark = edges.sparkSession
-    rounds = RoundTables(spark, "paths")
+    key = ["origin", "node"]
+    row = "origin string, node string, cost double, prev string, segment_id bigint"
+    folder = new_path(spark, "paths")
+
+    def stored(number: int) -> DataFrame:
+        return spark.read.schema(row).parquet(f"{folder}/round={number}")
+
+    def state(merged: DataFrame | None, first: int) -> DataFrame:
+        """Everything found: the last merge, and the rounds since."""
+        recent = spark.read.schema(f"{row}, round int").parquet(folder).where(F.col("round") >= first)
+        return recent if merged is None else merged.unionByName(recent)
+
     wanted = cut_lineage(wanted.select("origin", "target").dropna().distinct(), "wanted")
+    targets = wanted.withColumnRenamed("target", "node")
     links = cut_lineage(edges.where(F.col("src") != F.col("dst")).groupBy("src", "dst").agg(
         F.min(F.struct("cost", "segment_id")).alias("_e")).select("src", "dst", "_e.cost", "_e.segment_id"), "links")
-    start = F.struct(F.lit(0.0).alias("cost"), F.lit(0).alias("round"), F.lit(None).cast("string").alias("prev"),
-                     F.lit(None).cast("bigint").alias("segment_id"))
-    state = rounds.store(wanted.select("origin").distinct().select("origin", F.col("origin").alias("node"),
-                                                                   start.alias("best")))
+    wanted.select("origin").distinct().select(
+        "origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("string").alias("prev"),
+        F.lit(None).cast("bigint").alias("segment_id")).write.parquet(f"{folder}/round=0")
+
+    limits, base, first_open = None, None, 0
     for number in range(1, max_rounds + 1):
-        frontier = state.where(F.col("best.round") == number - 1)
-        reached = wanted.join(state.withColumnRenamed("node", "target"), ["origin", "target"], "left")
-        limits = reached.groupBy("origin").agg(F.when(
-            F.count("best.cost") == F.count("*"), F.max("best.cost")).alias("limit"))
-        steps = frontier.join(links, frontier["node"] == links["src"]).select(
-            "origin", F.col("dst").alias("node"), F.struct(
-                (F.col("best.cost") + F.col("cost")).alias("cost"), F.lit(number).alias("round"),
-                F.col("src").alias("prev"), F.col("segment_id").alias("segment_id")).alias("best"))
-        useful = steps.join(limits, "origin").where(
-            F.col("limit").isNull() | (F.col("best.cost") <= F.col("limit"))).drop("limit")
-        state = rounds.store(state.unionByName(useful).groupBy("origin", "node").agg(F.min("best").alias("best")))
-        if state.where(F.col("best.round") == number).isEmpty():
-            return state, number
+        if number % LIMIT_ROUNDS == 1:
+            # Older limits are only looser, so they need not be renewed each round.
+            reached = state(base, first_open).join(targets, key, "left_semi").groupBy(*key).agg(F.min("cost").alias("cost"))
+            limits = cut_lineage(targets.join(reached, key, "left").groupBy("origin").agg(
+                F.when(F.count("cost") == F.count("*"), F.max("cost")).alias("limit")), "limits")
+        step = stored(number - 1).select("origin", "node", F.col("cost").alias("_base"))
+        found = step.join(links, step["node"] == links["src"]).select(
+            "origin", F.col("dst").alias("node"), (F.col("_base") + F.col("cost")).alias("cost"),
+            F.col("src").alias("prev"), "segment_id").join(limits, "origin").where(
+            F.col("limit").isNull() | (F.col("cost") <= F.col("limit")))
+        best = found.groupBy(*key).agg(F.min(F.struct("cost", "prev", "segment_id")).alias("_b")).select(*key, "_b.*")
+        known = state(base, first_open).select(*key, F.col("cost").alias("_known"))
+        improved = best.join(known, key, "left").groupBy(*key).agg(
+            F.first(F.struct("cost", "prev", "segment_id")).alias("_b"), F.min("_known").alias("_known")).where(
+            F.col("_known").isNull() | (F.col("_b.cost") < F.col("_known"))).select(*key, "_b.*")
+        improved.write.parquet(f"{folder}/round={number}")
+        done = stored(number).isEmpty()
+        if done or number % MERGE_ROUNDS == 0:
+            merged = state(base, first_open).groupBy(*key).agg(
+                F.min(F.struct("cost", "round", "prev", "segment_id")).alias("_b")).select(*key, "_b.*")
+            base, first_open = cut_lineage(merged, "settled"), number + 1
+        if done:
+            return base.select(*key, F.struct("cost", "round", "prev", "segment_id").alias("best")), number
     raise RuntimeError("paths did not settle")
 
 
