@@ -21,7 +21,7 @@ LINE_PROPERTIES = ("objectid bigint, streetname string, domi_class string, roadw
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per file, as text."""
-    return spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "document")
+    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "document")
 
 
 def features(documents: DataFrame) -> DataFrame:
