@@ -538,6 +538,13 @@ from fx_alerts where geometry is not null and event <> ''""",
   round((1 - closure_probability) * 100, 4) as score from (select segment_id, arg_max(closure_probability, (updated_at, seq)) as closure_probability from fx_probabilities group by segment_id) p where closure_probability between 0 and 1""",
 }
 SQL["feed_latest_stream"] = SQL["feed_latest"]
+SQL["alert_documents"] = SQL["alert_events"]
+SQL["label_summary"] = """select count(*) as rows, count(distinct objectid) as segments, count(distinct storm_id) as storms, min(risk_score) as min_score, max(risk_score) as max_score,
+  round(avg(risk_score), 6) as mean_score, round(quantile_cont(risk_score, 5e-1), 6) as median_score from ora_labels"""
+SQL["segment_records"] = """select s.objectid, coalesce(s.streetname, '') as streetname, s.domi_class, s.roadwidth, '' as speedlimit, l.lat3 as mid_lat, l.lng3 as mid_lng, 'wprdc_centerlines' as data_source
+from fx_segments s left join fx_lines l using (objectid)"""
+SQL["traffic_events"] = """select cast(event_id as varchar) as event_id, event_type, county, '' as description, value > 5 as is_full_closure, '511pa' as data_source
+from fx_feed join fx_counties using (event_id) where lower(county) = 'allegheny'"""
 SQL["first_per_name"] = "select key, osm_id, nullif(h, '#') as highway_type from (" + SQL["first_per_name"] + ") f"
 
 # Pairing walks the periods of each forecast in order: a leading night stands alone, then each period takes a following night.

@@ -210,6 +210,12 @@ def label_profile(spark, sf):
         "label_any_incident", "label_top_1pct", "label_top_5pct"]), "min", "max", "mean", digits=5)
 
 
+@query
+def label_summary(spark, sf):
+    stored = cut_lineage(storm_labels(spark, sf).select("objectid", "storm_id", "risk_score"), "labels")
+    return _rounded(cleaning.label_summary(stored), "mean_score", "median_score")
+
+
 # Features and training matrix
 
 @query
@@ -694,6 +700,39 @@ def service_routes(spark, sf):
                                       F.round(F.sum("mid_lat"), 3).alias("sum_lat"))
 
 
+@query
+def segment_records(spark, sf):
+    """Raw road records with header variants, and midpoints by id."""
+    i = Inputs(spark, sf)
+    raw = i.segments.select(F.col("objectid").cast("string").alias("FID "), F.col("streetname").alias("ST_NAME"),
+                            F.col("domi_class").alias("DOMI_CLASS"), F.col("roadwidth").alias("RoadWidth"))
+    mids = i.lines.select("objectid", F.col("lat3").alias("mid_lat"), F.col("lng3").alias("mid_lng"))
+    return documents.segment_records(raw, mids).select("objectid", "streetname", "domi_class", "roadwidth", "speedlimit",
+                                                       "mid_lat", "mid_lng", "data_source")
+
+
+@query
+def traffic_events(spark, sf):
+    """Traffic records of one county."""
+    i = Inputs(spark, sf)
+    record = F.to_json(F.struct(
+        F.col("e.event_id").cast("string").alias("id"), F.concat(F.lit(" "), F.col("e.event_type")).alias("type"), "c.county",
+        (F.col("e.value") > 5).alias("isFullClosure"), F.col("e.last_updated").cast("string").alias("lastUpdated")))
+    rows = i.feed.alias("e").join(i.counties.alias("c"), F.col("e.event_id") == F.col("c.event_id")).select(record.alias("feature"))
+    return cleaning.in_county(documents.traffic_events(rows), "Allegheny").select(
+        "event_id", "event_type", "county", "description", "is_full_closure", "data_source")
+
+
+@query
+def alert_documents(spark, sf):
+    """Alerts as features, scanned and typed."""
+    i = Inputs(spark, sf)
+    feature = F.to_json(F.struct("id", F.when(F.col("geometry").isNotNull(), F.struct(F.col("geometry").alias("type"))).alias(
+        "geometry"), F.struct("event", "severity", "headline", "description").alias("properties")))
+    return feeds.alert_events(documents.alert_rows(i.alerts.select(feature.alias("feature")))).select(
+        "source_event_id", "event_type", "severity", "event", "description")
+
+
 @query
 def way_documents(spark, sf):
     """Roads whose node lists are the road graph's ends."""

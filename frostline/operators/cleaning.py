@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from frostline.functions.encode import first_filled, number, text_or_null
-from frostline.operators.ordered import exact_percentiles
+from frostline.operators.ordered import bounded_percentiles, exact_percentiles
 
 # Predicates of the source feeds.
 COMPLAINT_PATTERNS = ["%Snow%", "%Ice%", "%Icy%"]
@@ -173,3 +173,18 @@ def season_statistics(df: DataFrame, value: str = "risk_score") -> DataFrame:
     return df.groupBy("season").agg(
         F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.count("*").alias("n"),
         F.count_distinct("storm_id").alias("storms"))
+
+
+def label_summary(labels: DataFrame) -> DataFrame:
+    """One row on a label table: rows, segments, storms, and range, mean and median of the score.
+
+    Scores have six decimals, so their histogram is bounded and the median is exact.
+    """
+    hist = labels.groupBy("risk_score").agg(F.count("*").alias("n"))
+    median = bounded_percentiles(hist, [], "risk_score", "n", {"median": 0.5}).scalar()
+    segments = labels.select("objectid").distinct().agg(F.count("*")).scalar()
+    storms = labels.select("storm_id").distinct().agg(F.count("*")).scalar()
+    agg = hist.agg(F.sum("n").alias("rows"), F.min("risk_score").alias("min_score"), F.max("risk_score").alias("max_score"),
+                   (F.sum(F.col("risk_score") * F.col("n")) / F.sum("n")).alias("mean_score"))
+    return agg.select("rows", segments.alias("segments"), storms.alias("storms"), "min_score", "max_score", "mean_score",
+                      median.alias("median_score"))

@@ -20,10 +20,9 @@ def running_totals(df: DataFrame, keys: list[str], order: str, totals: list[str]
     ``df`` has one row per (keys, order). It is stored once after range partitioning, so that both passes see the
     same partitions.
     """
-    spark = df.sparkSession
     direction = F.col(order).desc() if descending else F.col(order).asc()
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, *[F.col(k) for k in keys], direction)
+    # Without a fixed number, small range partitions are merged with their neighbours at run time; order is kept.
+    ranged = df.repartitionByRange(*[F.col(k) for k in keys], direction)
     stored = cut_lineage(ranged.withColumn("_part", F.spark_partition_id()), "ordered")
 
     sums = stored.groupBy(*keys, "_part").agg(*[F.sum(t).alias(f"_s_{t}") for t in totals])

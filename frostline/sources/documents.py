@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from frostline import schemas
 from frostline.functions import geo
 from frostline.functions.encode import text_or_null
-from frostline.operators.cleaning import keep_first
+from frostline.operators.cleaning import canonical, keep_first
 
 # Road types that are not roads in use.
 NOT_IN_USE = ["proposed", "construction", "platform"]
@@ -218,3 +219,30 @@ def stored_predictions(rows: DataFrame) -> DataFrame:
         F.lit(0).cast("bigint").alias("day_offset"), F.col("_props.objectid").alias("objectid"),
         F.coalesce("_props.risk_score", F.lit(0.0)).alias("risk_score"),
         F.coalesce("_props.risk_category", F.lit("very_low")).alias("risk_category"))
+
+
+def segment_records(records: DataFrame, midpoints: DataFrame) -> DataFrame:
+    """Tabular road records under their canonical names, with the midpoint of their geometry looked up by id."""
+    df = canonical(records, schemas.SEGMENT_ALIASES, "wprdc_centerlines").withColumn(
+        "objectid", F.col("objectid").try_cast("bigint")).where(F.col("objectid").isNotNull())
+    return df.join(midpoints.select("objectid", "mid_lat", "mid_lng"), "objectid", "left")
+
+
+def traffic_events(rows: DataFrame) -> DataFrame:
+    """Traffic events from service records, one JSON text per row."""
+    fields = {"event_id": "id", "event_type": "type", "roadway": "roadwayName", "direction": "direction", "county": "county",
+              "description": "description", "location_description": "locationDescription", "start_time": "startDate",
+              "end_time": "endDate", "last_updated": "lastUpdated"}
+    shape = ", ".join(f"{name} string" for name in fields.values()) + ", isFullClosure boolean"
+    df = rows.withColumn("_r", F.from_json("feature", shape))
+    return df.select(
+        *[F.coalesce(F.trim(F.col("_r")[name]), F.lit("")).alias(out) for out, name in fields.items()],
+        F.coalesce("_r.isFullClosure", F.lit(False)).alias("is_full_closure"), F.lit("511pa").alias("data_source"))
+
+
+def alert_rows(rows: DataFrame) -> DataFrame:
+    """Weather alerts from features, with their geometry as JSON text."""
+    names = ["event", "severity", "headline", "description", "onset", "expires"]
+    shape = f"id string, geometry string, properties struct<{', '.join(f'{n}: string' for n in names)}>"
+    df = rows.withColumn("_r", F.from_json("feature", shape))
+    return df.select("_r.id", *[F.col(f"_r.properties.{n}").alias(n) for n in names], "_r.geometry")
