@@ -20,6 +20,7 @@ from frostline.session import RoundTables, cut_lineage, new_path
 STITCH_M = 15.0
 SNAP_M = 1000.0
 TURN_DEGREES = 30.0
+DAYS = 7
 # Rounds of a path search between renewals of its cost limits, and between merges of its stored rounds.
 LIMIT_ROUNDS = 4
 MERGE_ROUNDS = 8
@@ -130,7 +131,7 @@ def snap(points: DataFrame, nodes: DataFrame, at: tuple[str, str], name: str) ->
 def least_cost(edges: DataFrame, wanted: DataFrame, max_rounds: int = 100_000) -> tuple[DataFrame, int]:
     """Least cost from each origin to the nodes around it, far enough to settle every wanted (origin, target).
 
-    ``edges`` has (src, dst, segment_id, cost). Each round relaxes the edges out of the nodes improved in the round
+    ``edges`` has (src, dst, segment_id, cost) with numbered nodes. Each round relaxes the edges out of the nodes improved in the round
     before and stores only what it improved; earlier rounds stay as they are and are looked up by the few candidates of
     the round. Once all targets of an origin are reached, costs above the dearest of them are dropped, which is exact
     for costs that are not negative. Returns (origin, node, best) with ``best`` = (cost, round, prev, segment_id),
@@ -138,30 +139,35 @@ def least_cost(edges: DataFrame, wanted: DataFrame, max_rounds: int = 100_000) -
     """
     spark = edges.sparkSession
     key = ["origin", "node"]
-    row = "origin string, node string, cost double, prev string, segment_id bigint"
+    row = "origin bigint, node bigint, cost double, prev bigint, segment_id bigint"
     folder = new_path(spark, "paths")
 
     def stored(number: int) -> DataFrame:
         return spark.read.schema(row).parquet(f"{folder}/round={number}")
 
-    def state(merged: DataFrame | None, first: int) -> DataFrame:
-        """Everything found: the last merge, and the rounds since."""
-        recent = spark.read.schema(f"{row}, round int").parquet(folder).where(F.col("round") >= first)
-        return recent if merged is None else merged.unionByName(recent)
+    def state(merged: DataFrame | None, first: int, upto: int) -> DataFrame:
+        """Everything found before round ``upto``: the last merge, and the rounds since."""
+        recent = None
+        if first < upto:
+            paths = [f"{folder}/round={n}" for n in range(first, upto)]
+            recent = spark.read.schema(f"{row}, round int").option("basePath", folder).parquet(*paths)
+        if merged is None or recent is None:
+            return recent if merged is None else merged
+        return merged.unionByName(recent)
 
     wanted = cut_lineage(wanted.select("origin", "target").dropna().distinct(), "wanted")
     targets = wanted.withColumnRenamed("target", "node")
     links = cut_lineage(edges.where(F.col("src") != F.col("dst")).groupBy("src", "dst").agg(
         F.min(F.struct("cost", "segment_id")).alias("_e")).select("src", "dst", "_e.cost", "_e.segment_id"), "links")
     wanted.select("origin").distinct().select(
-        "origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("string").alias("prev"),
+        "origin", F.col("origin").alias("node"), F.lit(0.0).alias("cost"), F.lit(None).cast("bigint").alias("prev"),
         F.lit(None).cast("bigint").alias("segment_id")).write.parquet(f"{folder}/round=0")
 
     limits, base, first_open = None, None, 0
     for number in range(1, max_rounds + 1):
         if number % LIMIT_ROUNDS == 1:
             # Older limits are only looser, so they need not be renewed each round.
-            reached = state(base, first_open).join(targets, key, "left_semi").groupBy(*key).agg(F.min("cost").alias("cost"))
+            reached = state(base, first_open, number).join(targets, key, "left_semi").groupBy(*key).agg(F.min("cost").alias("cost"))
             limits = cut_lineage(targets.join(reached, key, "left").groupBy("origin").agg(
                 F.when(F.count("cost") == F.count("*"), F.max("cost")).alias("limit")), "limits")
         step = stored(number - 1).select("origin", "node", F.col("cost").alias("_base"))
@@ -170,14 +176,14 @@ def least_cost(edges: DataFrame, wanted: DataFrame, max_rounds: int = 100_000) -
             F.col("src").alias("prev"), "segment_id").join(limits, "origin").where(
             F.col("limit").isNull() | (F.col("cost") <= F.col("limit")))
         best = found.groupBy(*key).agg(F.min(F.struct("cost", "prev", "segment_id")).alias("_b")).select(*key, "_b.*")
-        known = state(base, first_open).select(*key, F.col("cost").alias("_known"))
+        known = state(base, first_open, number).select(*key, F.col("cost").alias("_known"))
         improved = best.join(known, key, "left").groupBy(*key).agg(
             F.first(F.struct("cost", "prev", "segment_id")).alias("_b"), F.min("_known").alias("_known")).where(
             F.col("_known").isNull() | (F.col("_b.cost") < F.col("_known"))).select(*key, "_b.*")
         improved.write.parquet(f"{folder}/round={number}")
         done = stored(number).isEmpty()
         if done or number % MERGE_ROUNDS == 0:
-            merged = state(base, first_open).groupBy(*key).agg(
+            merged = state(base, first_open, number + 1).groupBy(*key).agg(
                 F.min(F.struct("cost", "round", "prev", "segment_id")).alias("_b")).select(*key, "_b.*")
             base, first_open = cut_lineage(merged, "settled"), number + 1
         if done:
@@ -211,48 +217,61 @@ def walk_back(state: DataFrame, wanted: DataFrame, rounds: int) -> DataFrame:
                         F.col("node").alias("dst"), "segment_id")
 
 
+def number_nodes(nodes: DataFrame) -> DataFrame:
+    """Consecutive numbers for nodes in the order of their keys: (node, node_id)."""
+    counted = nodes.select("node").withColumn("one", F.lit(1).cast("bigint"))
+    return running_totals(counted, [], "node", ["one"]).select("node", F.col("one_before").alias("node_id"))
+
+
+def with_node_ids(edges: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Edges whose ends are node numbers."""
+    for side in ("src", "dst"):
+        ids = numbers.select(F.col("node").alias(side), F.col("node_id").alias("_id"))
+        edges = edges.join(ids, side).drop(side).withColumnRenamed("_id", side)
+    return edges
+
+
 def safest_routes(requests: DataFrame, segments: DataFrame, predictions: DataFrame) -> DataFrame:
     """Edges of the least-risk route of each request (route_id, from_lng, from_lat, to_lng, to_lat, day_offset).
 
     Returns (route_id, day_offset, hop, src, dst, segment_id, length_m, risk, streetname, coords). Requests whose ends
-    do not reach the main component, or meet in one node, have no rows. Costs depend on the day, so nodes are
-    searched per day.
+    do not reach the main component, or meet in one node, have no rows. Days are 0 to 6; costs depend on the day, so
+    each node stands once per day in the search. The search runs on node numbers, which keeps its tables narrow.
     """
     roads = cut_lineage(road_edges(segments), "edges")
-    nodes = cut_lineage(road_nodes(roads), "nodes")
-    edges = cut_lineage(roads.unionByName(stitch_edges(nodes, roads)), "edges")
+    places = cut_lineage(road_nodes(roads), "nodes")
+    numbers = cut_lineage(number_nodes(places), "numbers")
+    edges = cut_lineage(with_node_ids(roads.unionByName(stitch_edges(places, roads)), numbers).where(
+        F.col("src") != F.col("dst")), "edges")
+    nodes = cut_lineage(places.join(numbers, "node").select(F.col("node_id").alias("node"), "lng", "lat"), "nodes")
     main = cut_lineage(nodes.join(largest_component(cut_lineage(components(nodes, edges), "components")), "node",
                                   "left_semi"), "main")
     snapped = snap(snap(requests, main, ("from_lat", "from_lng"), "_from"), main, ("to_lat", "to_lng"), "_to")
-    asked = cut_lineage(snapped.where(F.col("_from") != F.col("_to")), "requests")
-
-    days = asked.select("day_offset").distinct()
-    dated = edges.select("src", "dst", "segment_id", "length_m").join(
-        predictions.join(days, "day_offset", "left_semi").select(
-            F.col("objectid").alias("segment_id"), F.struct("day_offset", "risk_score").alias("_p"))
-        .groupBy("segment_id").agg(F.map_from_entries(F.collect_list("_p")).alias("_risks")), "segment_id", "left")
-    # A segment has at most one prediction per day; its edges are repeated for the days asked for.
-    day_list = days.agg(F.collect_set("day_offset")).scalar()
-    dated = dated.withColumn("day_offset", F.explode(day_list)).withColumn(
-        "risk", F.coalesce(F.try_element_at("_risks", F.col("day_offset")), F.lit(0.0)))
-
-    def on_day(day, node):
-        return F.concat_ws("@", F.col(node), F.col(day).cast("string"))
-
-    priced = cut_lineage(dated.select(
-        on_day("day_offset", "src").alias("src"), on_day("day_offset", "dst").alias("dst"), "segment_id", "length_m",
-        "risk", risk.edge_cost(F.col("length_m"), F.col("risk")).alias("cost")), "priced")
-    wanted = asked.select("route_id", on_day("day_offset", "_from").alias("origin"),
-                          on_day("day_offset", "_to").alias("target"))
+    asked = cut_lineage(snapped.where(F.col("_from") != F.col("_to")).select("route_id", "day_offset", "_from", "_to"),
+                        "requests")
+
+    def on_day(node):
+        return (F.col(node) * DAYS + F.col("day_offset")).cast("bigint")
+
+    # At most one prediction per segment and day; an edge is repeated for the days asked for.
+    day_list = asked.agg(F.collect_set("day_offset")).scalar()
+    risks = predictions.select("day_offset", F.col("objectid").alias("segment_id"), F.col("risk_score").alias("risk"))
+    dated = edges.select("src", "dst", "segment_id", "length_m").withColumn("day_offset", F.explode(day_list)).join(
+        risks, ["segment_id", "day_offset"], "left")
+    priced = dated.select(
+        on_day("src").alias("src"), on_day("dst").alias("dst"), "segment_id",
+        risk.edge_cost(F.col("length_m"), F.coalesce("risk", F.lit(0.0))).alias("cost"))
+    wanted = asked.select("route_id", on_day("_from").alias("origin"), on_day("_to").alias("target"))
     state, rounds = least_cost(priced, wanted)
-    hops = walk_back(state, wanted, rounds)
-    detail = hops.join(priced.dropDuplicates(["src", "dst", "segment_id"]), ["src", "dst", "segment_id"])
-    plain = detail.select(
-        "route_id", F.element_at(F.split("src", "@"), 2).cast("bigint").alias("day_offset"), "hop",
-        F.element_at(F.split("src", "@"), 1).alias("src"), F.element_at(F.split("dst", "@"), 1).alias("dst"),
-        "segment_id", "length_m", "risk")
-    lines = edges.select("src", "dst", "segment_id", "streetname", "coords").dropDuplicates(["src", "dst", "segment_id"])
-    return plain.join(lines, ["src", "dst", "segment_id"])
+    hops = walk_back(state, wanted, rounds).select(
+        "route_id", (F.col("src") % DAYS).alias("day_offset"), "hop", F.floor(F.col("src") / DAYS).alias("src"),
+        F.floor(F.col("dst") / DAYS).alias("dst"), "segment_id")
+    detail = hops.join(edges, ["src", "dst", "segment_id"]).join(risks, ["segment_id", "day_offset"], "left")
+    for side in ("src", "dst"):
+        keys = numbers.select(F.col("node_id").alias(side), F.col("node").alias("_key"))
+        detail = detail.join(keys, side).drop(side).withColumnRenamed("_key", side)
+    return detail.select("route_id", "day_offset", "hop", "src", "dst", "segment_id", "length_m",
+                         F.coalesce("risk", F.lit(0.0)).alias("risk"), "streetname", "coords")
 
 
 def route_summary(hops: DataFrame) -> DataFrame:

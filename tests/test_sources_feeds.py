@@ -19,6 +19,12 @@ def test_missing_csv_is_empty_and_fallback_is_used(spark, tmp_path):
     assert got.collect() == [("1", 40.0, -80.0)]
 
 
+def test_csv_is_matched_by_name_and_cast_leniently(spark, tmp_path):
+    (tmp_path / "c.csv").write_text("year_built,extra,bridge_id,latitude\n1950.0,x,7,40.5\n,y,8,bad\n")
+    got = files.read_csv(spark, str(tmp_path / "c.csv"), schemas.BRIDGES).orderBy("bridge_id").collect()
+    assert [(g.bridge_id, g.year_built, g.latitude, g.longitude, g.name) for g in got] == [("7", 1950, 40.5, None, None), ("8", None, None, None, None)]
+
+
 def test_sinks(spark, tmp_path):
     one, two = spark.range(3), spark.range(9)
     files.write_once(one, str(tmp_path / "o"))
@@ -125,8 +131,8 @@ def test_location_texts(spark, text, at):
 
 
 def test_canonical_headers(spark):
-    raw = spark.createDataFrame([("a", None, " ", "4")], ["GROUP_ID ", "request_type_name", "created_on", "LATITUDE"]
-                                if False else "`Group_ID ` string, request_type_name string, created_on string, LATITUDE string")
+    raw = spark.createDataFrame([("a", None, " ", "4")],
+                                "`Group_ID ` string, request_type_name string, created_on string, LATITUDE string")
     row = cleaning.canonical(raw, schemas.COMPLAINT_ALIASES, "s").first()
     assert (row.group_id, row.request_type, row.created_date, row.latitude, row.longitude, row.data_source) == ("a", "", "", "4", "", "s")
 
@@ -182,6 +188,20 @@ def test_snapshot_stream_drops_repeats(spark, tmp_path):
     assert got.count() == 2 and "fetched_at" in got.columns
 
 
+def test_records_and_alert_features(spark):
+    raw = spark.createDataFrame([("1", "Main "), ("x", "bad"), ("2", None)], "FID string, ST_NAME string")
+    mids = spark.createDataFrame([(1, 40.0, -80.0)], "objectid long, mid_lat double, mid_lng double")
+    got = documents.segment_records(raw, mids).orderBy("objectid").collect()
+    assert [(g.objectid, g.streetname, g.mid_lat) for g in got] == [(1, "Main", 40.0), (2, "", None)]
+    records = [(json.dumps({"id": "e1", "county": " Allegheny", "isFullClosure": True, "startDate": "d"}),), (json.dumps({"id": "e2"}),)]
+    events = documents.traffic_events(spark.createDataFrame(records, "feature string"))
+    assert [(e.event_id, e.is_full_closure, e.start_time) for e in cleaning.in_county(events, "allegheny").collect()] == [("e1", True, "d")]
+    alert = {"id": "a", "geometry": {"type": "Polygon", "coordinates": []}, "properties": {"event": "Ice Storm Warning", "severity": "Severe"}}
+    row = feeds.alert_events(documents.alert_rows(spark.createDataFrame([(json.dumps(alert),)], "feature string"))).first()
+    assert (row.source_event_id, row.event_type, row.severity) == ("nws-a", "winter_condition", 4)
+    assert json.loads(row.geometry)["type"] == "Polygon"
+
+
 def test_updates_and_alerts(spark):
     df = spark.createDataFrame([(1, 0.1, 1), (2, 0.8, 1), (3, 1.5, 1)], "segment_id long, closure_probability double, updated_at long")
     got = {r.segment_id: (r.label, r.score) for r in feeds.prediction_updates(df).collect()}
