@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import chat_format, fingerprints, mixing, quality_rules
+from frostline.llm import chat_format, fingerprints, mixing, packing, quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -36,6 +36,20 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(q["broken"], ",").alias("broken"))
 
 
+def tokenizer_files() -> tuple[str, str]:
+    """The byte-level vocabulary, and the same as ranks."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
+
+
+@query
+def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, ranks = tokenizer_files()
+    df = packing.pack_events(descriptions(spark, sf_dir), path, ranks_path=ranks)
+    return df.withColumnRenamed("event_id", "doc_id")
+
+
 @query
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = mixing.mix_sources(descriptions(spark, sf_dir))
