@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import chat_format, fingerprints, mixing, packing, quality_rules
+from frostline.llm import (chat_format, fingerprints, html_extraction, license_scan, mixing, packing, quality_rules)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -36,6 +36,19 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(q["broken"], ",").alias("broken"))
 
 
+@query
+def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    df = html_extraction.release_texts(pages)
+    return df.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    releases = descriptions(spark, sf_dir).select("event_id", "description")
+    return license_scan.scan_licenses(releases, "event_id", "description").withColumnRenamed("release_id", "doc_id")
+
+
 def tokenizer_files() -> tuple[str, str]:
     """The byte-level vocabulary, and the same as ranks."""
     import public_tokenizers
