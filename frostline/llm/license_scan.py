@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from frostline.llm.columns import given, quoted
 
 K = 2
-SLACK, SHARE, LONG = 3, 0.8, 6
+SLACK, SHARE, LONG = 3, 0.8, 8
 
 # Phrases that always count as they stand, with their labels.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))

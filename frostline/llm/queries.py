@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import (chat_format, fingerprints, html_extraction, license_scan, mixing, packing, quality_rules)
+from frostline.llm import (chat_format, fingerprints, html_extraction, license_scan, mixing, near_duplicates, packing,
+                           quality_rules)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -69,6 +70,12 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(F.col("event_id").alias("doc_id"), F.col("data_source").alias("source"), "mix.*")
 
 
+@query
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = near_duplicates.near_duplicates(descriptions(spark, sf_dir).drop("data_source"), shingle=3, percent=85)
+    return df.select(F.col("event_id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 @query
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = fingerprints.edited_fingerprints(descriptions(spark, sf_dir).drop("data_source"))
