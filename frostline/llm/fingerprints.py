@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from frostline.llm.columns import given, hashed_grams, quoted, words
 
 GRAM = 3
-WINDOW = 8
+WINDOW = 12
 _SPAN = 2 ** 31  # places in a packed number: positions are below it, hashes are 32 bits
 
 
@@ -98,23 +98,24 @@ def edited_fingerprints(events: DataFrame, event_id: str = "event_id", descripti
     ``near_next`` is 0. Texts are shuffled once, and of the next event only the start that is needed and its hashes.
     """
     base = events.select(F.col(quoted(event_id)).cast("long").alias("event_id"), given(description).alias("text"))
-    base = with_winnowed(base.withColumn("tokens", words(F.col("text"))), "tokens", "fingerprint", k, window)
-    base = base.withColumn("n_chars", F.length("text").cast("long"))
-    order = successors(base.select("event_id"))
-    lengths = base.groupBy("event_id").agg(F.max(F.floor(F.col("n_chars") / 4)).alias("wanted"))
-    asked = order.join(lengths, "event_id").select(F.col("event_id").alias("asker"), F.col("next_id").alias("event_id"),
-                                                  "wanted")
-    heads = base.join(asked, "event_id").groupBy("asker").agg(F.min(F.struct(
+    lengths = base.groupBy("event_id").agg(F.max(F.floor(F.length("text") / 4)).alias("wanted"))
+    asked = successors(base.select("event_id")).join(lengths, "event_id").select(
+        F.col("event_id").alias("asker"), F.col("next_id").alias("event_id"), "wanted")
+    # Both joins read the texts by id, so that one shuffle of them serves both; fingerprints are made behind it.
+    heads = with_winnowed(base.join(asked, "event_id").withColumn("tokens", words(F.col("text"))), "tokens", "print", k, window)
+    heads = heads.groupBy("asker").agg(F.min(F.struct(
         F.substring(F.col("text"), F.lit(1), F.col("wanted").cast("int")).alias("head"),
-        hashes(F.col("fingerprint")).alias("next_hashes"))).alias("next")).select(
-        F.col("asker").alias("event_id"), "next.*")
-    df = base.drop("tokens").join(heads, "event_id", "left")
+        F.transform(hashes(F.col("print")), lambda h: h.cast("int")).alias("next_hashes"))).alias("next"))
+    df = base.join(heads.select(F.col("asker").alias("event_id"), "next.*"), "event_id", "left")
+    df = with_winnowed(df.withColumn("tokens", words(F.col("text"))), "tokens", "fingerprint", k, window)
+    df = df.withColumn("n_chars", F.length("text").cast("long"))
     tail = F.floor(F.col("n_chars") / 4)
     df = df.withColumn("edited", F.concat(
         F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - tail).cast("int")),
         F.substring(F.coalesce("head", F.lit("")), F.lit(1), tail.cast("int"))))
     df = with_winnowed(df.withColumn("tokens", words(F.col("edited"))), "tokens", "edited_fingerprint", k, window)
-    df = df.withColumn("_own", hashes(F.col("fingerprint")))
+    df = df.withColumn("_own", F.transform(hashes(F.col("fingerprint")), lambda h: h.cast("int")))
+    edited = F.transform(hashes(F.col("edited_fingerprint")), lambda h: h.cast("int"))
     return df.select("event_id", "n_chars", "edited", "fingerprint", "edited_fingerprint",
-                     likeness(F.col("_own"), hashes(F.col("edited_fingerprint"))).alias("near_edited"),
+                     likeness(F.col("_own"), edited).alias("near_edited"),
                      F.coalesce(likeness(F.col("_own"), F.col("next_hashes")), F.lit(0.0)).alias("near_next"))
