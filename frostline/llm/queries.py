@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from frostline.llm import (chat_format, fingerprints, html_extraction, license_scan, mixing, near_duplicates, packing,
-                           quality_rules)
+                           quality_classifier, quality_rules)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -37,6 +37,21 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_join(q["broken"], ",").alias("broken"))
 
 
+def remainder(event_id: str, divisor: int):
+    """Remainder of the checksum of an id as text."""
+    return F.crc32(F.col(event_id).cast("string").cast("binary")) % divisor
+
+
+@query
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = descriptions(spark, sf_dir).drop("data_source")
+    marks = spark.read.parquet(f"{sf_dir}/labels.parquet").select(
+        F.col("doc_id").alias("event_id"), F.col("quality").alias("useful")).where(remainder("event_id", 5) != 0)
+    df = quality_classifier.score_quality(events, quality_classifier.train_quality(events, marks))
+    return df.select(F.col("event_id").alias("doc_id"), (remainder("event_id", 5) == 0).alias("held_out"),
+                     F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
