@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import (chat_format, fingerprints, html_extraction, license_scan, mixing, near_duplicates, packing,
-                           quality_classifier, quality_rules)
+from frostline.llm import (chat_format, fingerprints, html_extraction, language_model, license_scan, mixing,
+                           near_duplicates, packing, quality_classifier, quality_rules)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -59,6 +59,14 @@ def op3_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+@query
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = descriptions(spark, sf_dir).drop("data_source").withColumn("train", remainder("event_id", 7) != 2)
+    df = language_model.language_scores(events, "train")
+    return df.select(F.col("event_id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known",
+                     "train_tokens", "base_score", "score")
+
+
 @query
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     releases = descriptions(spark, sf_dir).select("event_id", "description")
