@@ -21,6 +21,7 @@ REGISTERS, ROWS = 256, 6  # a pair at 0.8 is missed by all 42 bands with probabi
 BASE, RATE = 1.005, 20.0
 MARGIN = 0.12  # over 5 standard deviations of the estimate
 STARS = 3
+SMALL, BLOCK_ROWS, BLOCK_SHINGLES = 12, 1000, 2_000_000
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
@@ -204,16 +205,89 @@ class _Search:
             (F.col("part") != F.col("head.part")) & self.may_link("n_shingles", "head.n_shingles")).select(
             F.col("node").alias("a"), F.col("head.node").alias("b"))
 
+    def bands_apart(self, rows: DataFrame) -> DataFrame:
+        """Rows of open bands with their size, and whether they lie outside the largest part of their band."""
+        sizes = rows.groupBy("band", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
+        bands = sizes.groupBy("band").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("rows"),
+                                          F.sum("s").alias("shingles_sum"))
+        return rows.join(bands, "band").withColumn("minor", F.col("part") != F.col("main"))
+
     def across(self, rows: DataFrame) -> DataFrame:
-        """All pairs of a band whose nodes are in different parts; the largest part of a band is not paired with itself."""
-        sizes = rows.groupBy("band", "part").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("band").agg(F.max_by("part", F.struct("n", "part")).alias("main"))
-        rows = rows.join(main, "band")
-        minor = rows.where("part <> main").select(
+        """All pairs of different parts in bands of at most SMALL rows; the largest part is not paired with itself."""
+        few = rows.where(F.col("rows") <= SMALL)
+        minor = few.where("minor").select(
             "band", F.col("node").alias("a"), F.col("part").alias("part_a"), F.col("n_shingles").alias("n_a"))
-        return minor.join(rows, "band").where((F.col("part_a") != F.col("part")) & self.may_link("n_a", "n_shingles")).select(
+        return minor.join(few, "band").where((F.col("part_a") != F.col("part")) & self.may_link("n_a", "n_shingles")).select(
             "a", F.col("node").alias("b"))
 
+    def link_blocks(self, rows: DataFrame) -> None:
+        """Links of different parts in the larger bands, by blocks.
+
+        The rows of a band are dealt to blocks of bounded size; each two blocks are one group, whose full sets are
+        intersected at once. Only links leave a group.
+        """
+        many = rows.where(F.col("rows") > SMALL)
+        if many.isEmpty():
+            return
+        blocks = F.ceil(F.greatest(F.col("rows") / BLOCK_ROWS, F.col("shingles_sum") / BLOCK_SHINGLES)).cast("int")
+        many = many.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        every = F.sequence(F.lit(0), F.col("blocks") - 1)
+        as_right = F.transform(every, lambda j: F.struct(j.alias("l"), F.col("own").alias("r")))
+        as_left = F.transform(F.filter(every, lambda j: j != F.col("own")), lambda j: F.struct(F.col("own").alias("l"), j.alias("r")))
+        pairs = F.concat(as_right, F.when(F.col("minor"), as_left).otherwise(F.slice(as_left, 1, 0)))
+        sets = self.sets(many.select("node").distinct())
+        dealt = many.join(sets, "node").select("band", "node", "part", "minor", "own", "shingles", F.explode(pairs).alias("at")).select(
+            "band", "at.*", "node", "part", "minor", "own", "shingles")
+        percent = self.percent
+
+        def link(table: pa.Table) -> pa.Table:
+            left_block, right_block = table.column("l")[0].as_py(), table.column("r")[0].as_py()
+            own = table.column("own").to_numpy()
+            minor = table.column("minor").to_numpy(zero_copy_only=False)
+            parts, nodes = table.column("part").to_pylist(), table.column("node").to_pylist()
+            lists = table.column("shingles").combine_chunks()
+            values, bounds = lists.flatten().to_numpy(), lists.offsets.to_numpy() - lists.offsets.to_numpy()[0]
+            left, right = np.flatnonzero((own == left_block) & minor), np.flatnonzero(own == right_block)
+            found = []
+            if len(left) and len(right):
+                shared = _intersections(values, bounds, left, right)
+                size = np.diff(bounds)
+                linked = 100 * shared >= percent * (size[left][:, None] + size[right][None, :] - shared)
+                found = [(nodes[left[i]], nodes[right[j]]) for i, j in zip(*np.nonzero(linked))
+                         if parts[left[i]] != parts[right[j]]]
+            return pa.table({"a": pa.array([min(f) for f in found], pa.binary()),
+                             "b": pa.array([max(f) for f in found], pa.binary())})
+
+        links = cut_lineage(dealt.groupBy("band", "l", "r").applyInArrow(link, "a binary, b binary").distinct(), "near-links")
+        self.links = links if self.links is None else self.links.unionByName(links)
+
+
+def _intersections(values: np.ndarray, bounds: np.ndarray, left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
+    """Numbers of common values of each left with each right list, as a matrix, by products over slices of the values."""
+    row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+    code = np.unique(values, return_inverse=True)[1]
+    place = np.full((2, len(bounds) - 1), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    here = [place[side, row] >= 0 for side in (0, 1)]
+    both = np.zeros(code.max(initial=-1) + 1, bool)
+    both[np.intersect1d(code[here[0]], code[here[1]])] = True
+    column = np.cumsum(both) - 1
+    sides = []
+    for side in (0, 1):
+        use = here[side] & both[code]
+        order = np.argsort(column[code[use]], kind="stable")
+        sides.append((place[side, row[use]][order], column[code[use]][order]))
+    out = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, int(both.sum()), width):
+        dense = []
+        for (rows, columns), n in zip(sides, (len(left), len(right))):
+            a, b = np.searchsorted(columns, [start, start + width])
+            part = np.zeros((n, width), np.float32)
+            part[rows[a:b], columns[a:b] - start] = 1
+            dense.append(part)
+        out += dense[0] @ dense[1].T
+    return out.astype(np.int64)
+
 
 def near_duplicates(events: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, event_id: str = "event_id",
                     description: str = "description") -> DataFrame:
@@ -227,7 +301,8 @@ def near_duplicates(events: DataFrame, shingle: int = SHINGLE, percent: int = PE
     Equal sets become one node first. Nodes that share a band of registers are candidates. Within a band every node is
     tried against one head, which ties a large group of copies together with as many pairs as nodes; after ``STARS`` such
     turns all pairs of a band that still lie in different parts are tried, so no candidate link between parts is left
-    out. Candidates pass the likelihood estimate with a wide margin before the exact check. No group is collected.
+    out. Candidates pass the likelihood estimate with a wide margin before the exact check. In bands of more than
+    ``SMALL`` rows that step compares blocks of bounded size exactly and returns links only. No group is collected.
 
     Ids are integers. Rows that repeat a text are linked; repeated ids are rows of their own; a null id is never a
     component's id unless no other is there. An empty table gives an empty result.
@@ -242,7 +317,9 @@ def near_duplicates(events: DataFrame, shingle: int = SHINGLE, percent: int = PE
         parts = search.parts()
         open_rows = search.open_bands(parts)
     if not open_rows.isEmpty():
-        search.test(search.across(open_rows))
+        apart = cut_lineage(search.bands_apart(open_rows), "near-apart")
+        search.test(search.across(apart))
+        search.link_blocks(apart)
         parts = search.parts()
     names = search.classes.select("node", F.col("event_id").alias("least"))
     if parts is None:

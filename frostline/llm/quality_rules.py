@@ -143,8 +143,10 @@ def quality_rules(events: DataFrame, rules: Sequence[Rule] = RULES, description:
     }
     df = df.select("row", *[measures[m].cast("long").alias(m) for m in MEASURES])
     df = df.withColumn("broken", verdict(rules, F.col))
-    return unpacked(df.select("row", F.struct(*MEASURES, "broken", (F.size("broken") == 0).alias("kept")).alias("quality")),
-                    events.columns, "quality")
+    judged = F.struct(*MEASURES, "broken", (F.size("broken") == 0).alias("kept"))
+    # The number keeps filters on the verdict above this step: moved below, they would repeat the steps inside one another.
+    df = df.select("row", F.when(F.monotonically_increasing_id() >= 0, judged).alias("quality"))
+    return unpacked(df, events.columns, "quality")
 
 
 def passed(events: DataFrame, rules: Sequence[Rule] = RULES, description: str = "description") -> DataFrame:
