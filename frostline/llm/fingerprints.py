@@ -97,16 +97,18 @@ def edited_fingerprints(events: DataFrame, event_id: str = "event_id", descripti
     next ones the smallest text is taken. A row with a null id has no successor: its last quarter is just cut off and
     ``near_next`` is 0. Texts are shuffled once, and of the next event only the start that is needed and its hashes.
     """
-    base = events.select(F.col(quoted(event_id)).cast("long").alias("event_id"), given(description).alias("text"))
+    every = events.select(F.col(quoted(event_id)).cast("long").alias("event_id"), given(description).alias("text"))
+    base = every.where("event_id is not null")
     lengths = base.groupBy("event_id").agg(F.max(F.floor(F.length("text") / 4)).alias("wanted"))
     asked = successors(base.select("event_id")).join(lengths, "event_id").select(
         F.col("event_id").alias("asker"), F.col("next_id").alias("event_id"), "wanted")
-    # Both joins read the texts by id, so that one shuffle of them serves both; fingerprints are made behind it.
+    # Both joins read the same rows by id, so that one shuffle of the texts serves both; fingerprints are made behind it.
     heads = with_winnowed(base.join(asked, "event_id").withColumn("tokens", words(F.col("text"))), "tokens", "print", k, window)
     heads = heads.groupBy("asker").agg(F.min(F.struct(
         F.substring(F.col("text"), F.lit(1), F.col("wanted").cast("int")).alias("head"),
         F.transform(hashes(F.col("print")), lambda h: h.cast("int")).alias("next_hashes"))).alias("next"))
     df = base.join(heads.select(F.col("asker").alias("event_id"), "next.*"), "event_id", "left")
+    df = df.unionByName(every.where("event_id is null"), allowMissingColumns=True)
     df = with_winnowed(df.withColumn("tokens", words(F.col("text"))), "tokens", "fingerprint", k, window)
     df = df.withColumn("n_chars", F.length("text").cast("long"))
     tail = F.floor(F.col("n_chars") / 4)
