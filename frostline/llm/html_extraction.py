@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from frostline.llm.columns import given, quoted
 
@@ -258,7 +259,7 @@ def release_texts(pages: DataFrame, html: str = "html") -> DataFrame:
     """
     kept = [c for c in pages.columns if c.lower() != "text"]
     df = pages.select(*[F.col(quoted(c)) for c in kept], given(html).alias("__page"))
-    schema = df.drop("__page").schema.add("text", "string")
+    schema = T.StructType([*df.schema.fields[:-1], T.StructField("text", T.StringType())])
     tree = fit_tree()
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

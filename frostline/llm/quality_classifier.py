@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from frostline.llm.columns import given, quoted
 from frostline.llm.packing import text_chunks
@@ -175,7 +176,7 @@ def score_quality(events: DataFrame, model: QualityModel, event_id: str = "event
     """
     kept = [c for c in events.columns if c.lower() != "quality_score"]
     df = events.select(*[F.col(quoted(c)) for c in kept], given(description).alias("__text"))
-    schema = df.drop("__text").schema.add("quality_score", "double")
+    schema = T.StructType([*df.schema.fields[:-1], T.StructField("quality_score", T.DoubleType())])
     shared = events.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,7 +11,7 @@ FILL = "the road is closed between and due to snow on of near ramp lane crews pl
 
 #: Names that operators use inside; all must pass through or be replaced as documented.
 CLASHING = ["row", "text", "tokens", "grams", "order", "starts", "n_words", "digest", "node", "bands", "block", "of", "id",
-            "label", "rank", "bucket", "length", "epoch part", "hash", "__page2"]
+            "label", "rank", "bucket", "length", "epoch.part", "hash", "__page2"]
 
 
 def low(text):
