@@ -417,7 +417,7 @@ from fx_closures c join fx_segments s on {d2('c.latitude', 'c.longitude', 's.mid
   select *, row_number() over (partition by t order by md5('42-' || storm_id), storm_id) as rn, count(*) over (partition by t) as n
   from (select *, season in ('2023-24', '2024-25') as t from fx_seasons) a) b""",
     "capped_sample": """select storm_id, objectid, risk_score from fx_scored
-qualify row_number() over (partition by storm_id order by (risk_score > 0) desc, md5('42-' || storm_id || '-' || objectid), objectid) <= 500""",
+qualify row_number() over (partition by storm_id order by (risk_score > 0) desc, md5('42-' || storm_id || '-' || objectid), objectid) <= 9000""",
     "relevance_grades": """select storm_id, objectid, cast(case when risk_score <= 0 then 0 when risk_score <= a then 1 when risk_score <= b then 2 when risk_score <= c then 3 else 4 end as bigint) as relevance
 from fx_scored cross join (select quantile_cont(risk_score, 2.5e-1) as a, quantile_cont(risk_score, 5e-1) as b, quantile_cont(risk_score, 7.5e-1) as c from fx_scored where risk_score > 0) q""",
     "storm_ranking_metrics": "select storm_id, rows, " + ", ".join(f"round({c}, 6) as {c}" for c in ["ndcg_50", "ndcg_200", "ndcg_500", "recall_200", "recall_500", "spearman"]) + " from ora_storm_metrics",
@@ -531,8 +531,9 @@ from fx_alerts where geometry is not null and event <> ''""",
     "plow_traces": "select event_date, case when event_date < '1997' then 'T1' else '7' end as truck_id, count(*) as n, round(sum(latitude), 4) as sum_lat, round(sum(longitude), 4) as sum_lng from fx_plow group by all",
     "service_routes": "select route_no, count(*) as n, sum(aadt) as aadt, round(sum(mid_lat), 3) as sum_lat from fx_state_routes group by all",
     "way_documents": "select objectid as osm_id, streetname as name, 'residential' as highway_type, round((lat1 + lat4) / 2, 6) as mid_lat, round((lng1 + lng4) / 2, 6) as mid_lng, cast(3 as bigint) as node_count from fx_lines where coalesce(domi_class, '') <> 'Alley'",
-    "daily_arrays": "select date, snowfall_cm, case when row_number() over (partition by year(date), month(date) order by date) <= 20 then temp_max_c end as temp_max_c from fx_weather",
+    "daily_arrays": "select date, snowfall_cm, temp_max_c from fx_weather",
     "prediction_features": "select p.day_offset, p.objectid, p.risk_score, p.risk_category from ora_predictions p join fx_lines l using (objectid) where p.day_offset = 0 and p.objectid <> 0",
+    "feed_snapshot_stream": "select event_id, user_id, event_type, value from events",
     "feed_latest": "select user_id as event_key, arg_max(event_id, (ts, event_id)) as event_id, arg_max(event_type, (ts, event_id)) as event_type, arg_max(value, (ts, event_id)) as value from events group by user_id",
     "probability_updates": """select segment_id, closure_probability, case when closure_probability < 2.5e-1 then 'open' when closure_probability < 5e-1 then 'low_risk' when closure_probability < 7.5e-1 then 'moderate_risk' else 'closed' end as label,
   round((1 - closure_probability) * 100, 4) as score from (select segment_id, arg_max(closure_probability, (updated_at, seq)) as closure_probability from fx_probabilities group by segment_id) p where closure_probability between 0 and 1""",

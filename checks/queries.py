@@ -255,7 +255,7 @@ def season_split(spark, sf):
 
 @query
 def capped_sample(spark, sf):
-    df = ranking.capped_sample(Inputs(spark, sf).scored, per_storm=500)
+    df = ranking.capped_sample(Inputs(spark, sf).scored)
     return df.select("storm_id", "objectid", "risk_score")
 
 
@@ -760,7 +760,7 @@ def daily_arrays(spark, sf):
     # At most 31 days per document.
     doc = F.to_json(F.struct(F.struct(
         F.col("d.time").alias("time"), F.col("d.snowfall_cm").alias("snowfall_sum"),
-        F.slice("d.temp_max_c", 1, 20).alias("temperature_2m_max")).alias("daily")))
+        F.col("d.temp_max_c").alias("temperature_2m_max")).alias("daily")))
     return documents.daily_rows(days.select(doc.alias("document"))).select("date", "snowfall_cm", "temp_max_c")
 
 
@@ -779,6 +779,17 @@ def prediction_features(spark, sf):
 
 # Feeds
 
+@query
+def feed_snapshot_stream(spark, sf):
+    """Every fetched event kept by a streaming job over the event files."""
+    raw = spark.read.parquet(f"{sf}/events.parquet")
+    stream = spark.readStream.schema(raw.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    rows = stream.select("event_id", "user_id", "event_type", F.col("ts").alias("last_updated"), "value")
+    path, checkpoint = new_path(spark, "snapshots"), new_path(spark, "snapshots-checkpoint")
+    feeds.snapshot_stream(rows, path, checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(path).select("event_id", "user_id", "event_type", "value")
+
+
 @query
 def feed_latest(spark, sf):
     i = Inputs(spark, sf)

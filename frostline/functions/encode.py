@@ -28,9 +28,9 @@ def first_filled(*cols: Column) -> Column:
 
 
 def number(c: Column) -> Column:
-    """Number read from text; what cannot be read, NaN included, is null."""
-    value = F.trim(c.cast("string")).try_cast("double")
-    return F.when(~F.isnan(value), value)
+    """Number read from text; what is not written as one is null, infinity and letters behind a number included."""
+    text = F.trim(c.cast("string"))
+    return F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text.try_cast("double"))
 
 
 def is_true(c: Column) -> Column:

@@ -104,15 +104,18 @@ def keep_first(df: DataFrame, keys: list[str], ordinal: str) -> DataFrame:
         F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
 
 
-def merge_passes(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+def merge_passes(first: DataFrame, second: DataFrame, keys: list[str], ordinal: list[str] | None = None) -> DataFrame:
     """Rows of two extraction passes: all of the first, and the first row per key of the second that is new.
 
-    Blank and null key parts compare equal.
+    Rows are in the order of the ``ordinal`` columns, else of all their columns. Blank and null key parts compare equal.
     """
-    known = first.select(*keys).distinct()
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
-    fresh = second.alias("l").join(known.alias("r"), same, "left_anti")
-    return first.unionByName(fresh.dropDuplicates(keys))
+    alike = [F.trim(F.coalesce(F.col(k).cast("string"), F.lit(""))).alias(f"_k{i}") for i, k in enumerate(keys)]
+    names = [f"_k{i}" for i in range(len(keys))]
+    whole = F.struct(*second.columns)
+    place = F.struct(*(ordinal or []), whole)
+    fresh = second.groupBy(*alike).agg(F.min_by(whole, place).alias("_row")).join(
+        first.select(*alike).distinct(), names, "left_anti")
+    return first.unionByName(fresh.select("_row.*"))
 
 
 def column_medians(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -228,8 +228,11 @@ def risk_labels(segments: DataFrame, storms: DataFrame, measures: DataFrame) ->
     rest = days.where(F.col("day_offset") == 0).join(
         seen.groupBy("storm_id").agg(F.sum("n").alias("seen")), "storm_id", "left").select(
         "storm_id", resting.alias("risk_score"), (n_segments * F.col("n_days") - F.coalesce("seen", F.lit(0))).alias("n"))
-    top = bounded_percentiles(seen.unionByName(rest).where(F.col("n") > 0), ["storm_id"], "risk_score", "n",
-                              {"p95": 0.95, "p99": 0.99})
+    top = cut_lineage(bounded_percentiles(seen.unionByName(rest).where(F.col("n") > 0), ["storm_id"], "risk_score", "n",
+                                          {"p95": 0.95, "p99": 0.99}), "top")
+    # The bounds ride on the days and on the measured keys, so that nothing is joined to the unfolded grid.
+    days = cut_lineage(days.join(top, "storm_id"), "bounded-days")
+    scored = scored.join(top, "storm_id")
 
     taken = measures.join(days.select("storm_id", "day_offset", "day_no"), ["storm_id", "day_offset"]).groupBy(
         "objectid").agg(F.collect_set("day_no").alias("taken"))
@@ -242,14 +245,14 @@ def risk_labels(segments: DataFrame, storms: DataFrame, measures: DataFrame) ->
         *segments.columns, *[F.col(c) for c in ("storm_id", "day_offset", "season", "total_snowfall_cm")],
         F.lit(0.0).alias("storm_311_count"), F.lit(0.0).alias("storm_crash_score"),
         F.when(F.col("has_plow"), 1.0).alias("storm_plow_gap"), F.lit(0.0).alias("storm_domi_closure"),
-        resting.alias("risk_score"), F.col("has_plow").cast("bigint").alias("label_any_incident"))
+        resting.alias("risk_score"), F.col("has_plow").cast("bigint").alias("label_any_incident"), "p95", "p99")
     measured_rows = scored.join(segments, "objectid").select(
         *segments.columns, *[c for c in columns if c not in segments.columns])
-    labelled = measured_rows.unionByName(resting_rows).join(top, "storm_id")
+    labelled = measured_rows.unionByName(resting_rows)
 
     def among_top(bound):
         return F.when((F.col("risk_score") >= F.col(bound)) & (F.col("risk_score") > 0), 1).otherwise(0).cast("bigint")
 
     return labelled.select(
-        *[c for c in resting_rows.columns], among_top("p99").alias("label_top_1pct"),
+        *[c for c in resting_rows.columns if c not in ("p95", "p99")], among_top("p99").alias("label_top_1pct"),
         among_top("p95").alias("label_top_5pct"))

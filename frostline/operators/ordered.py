@@ -36,7 +36,7 @@ def running_totals(df: DataFrame, keys: list[str], order: str, totals: list[str]
     )
     within = Window.partitionBy("_part", *keys).orderBy(direction).rowsBetween(Window.unboundedPreceding, -1)
     local = stored.select("*", *[F.coalesce(F.sum(t).over(within), F.lit(0)).alias(f"_l_{t}") for t in totals])
-    on = [local["_part"] == offsets["_k_part"]] + [local[k] == offsets[f"_k_{k}"] for k in keys]
+    on = [local["_part"] == offsets["_k_part"]] + [local[k].eqNullSafe(offsets[f"_k_{k}"]) for k in keys]
     joined = local.join(offsets, on)
     for t in totals:
         joined = joined.withColumn(f"{t}_before", F.col(f"_l_{t}") + F.col(f"_o_{t}"))

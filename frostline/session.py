@@ -63,6 +63,12 @@ def _written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Remove a stored stage that is no longer read."""
+    old = spark._jvm.org.apache.hadoop.fs.Path(path)
+    old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+
+
 class RoundTables:
     """Tables of an iterative job: each round is written once, and rounds no longer read are removed."""
 
@@ -75,6 +81,5 @@ class RoundTables:
         table = _written(df, path)
         self._paths.append(path)
         while len(self._paths) > self._keep:
-            old = self._spark._jvm.org.apache.hadoop.fs.Path(self._paths.pop(0))
-            old.getFileSystem(self._spark._jsc.hadoopConfiguration()).delete(old, True)
+            remove_path(self._spark, self._paths.pop(0))
         return table

@@ -12,7 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from frostline.functions import weather
 from frostline.functions.risk import probability_label
-from frostline.session import new_path
+from frostline.session import new_path, remove_path
 from frostline.sources.files import path_exists
 
 BUCKETS = 64
@@ -28,20 +28,24 @@ def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 def upsert(batch: DataFrame, path: str, key: str, order: list[str], buckets: int = BUCKETS) -> None:
     """Merge a batch into a stored table of one row per key; only buckets the batch touches are read and rewritten.
 
-    The merged rows are written beside the table before they replace it, so a failed batch can be repeated. Replaying
-    a batch changes nothing.
+    The touched buckets, at most ``buckets`` numbers, go into the partition filter of the stored table; choose their
+    number by the size of the table, a few files' worth each, and keep it. The merged rows are written beside the table
+    before they replace it, so a failed batch can be repeated, and are removed after. Replaying a batch changes nothing.
     """
     spark = batch.sparkSession
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    fresh = latest_per_key(batch, key, order).withColumn("bucket", bucket)
+    reduced, staged = new_path(spark, "upsert-batch"), new_path(spark, "upsert")
+    latest_per_key(batch, key, order).withColumn("bucket", bucket).write.parquet(reduced)
+    fresh = spark.read.parquet(reduced)
     if path_exists(spark, path):
-        stored = spark.read.parquet(path)
-        touched = stored.join(fresh.select("bucket").distinct(), "bucket", "left_semi")
-        fresh = latest_per_key(touched.unionByName(fresh), key, order).withColumn("bucket", bucket)
-    staged = new_path(spark, "upsert")
+        touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]
+        stored = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+        fresh = latest_per_key(stored.unionByName(fresh), key, order).withColumn("bucket", bucket)
     fresh.write.parquet(staged)
     spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         "bucket").parquet(path)
+    for used in (reduced, staged):
+        remove_path(spark, used)
 
 
 def read_upserted(spark: SparkSession, path: str) -> DataFrame:
@@ -49,11 +53,17 @@ def read_upserted(spark: SparkSession, path: str) -> DataFrame:
 
 
 def snapshot_stream(events: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Append each fetched event with its fetch time; a repeated (event, update) pair is dropped within the watermark."""
-    unique = events.withColumn("fetched_at", F.current_timestamp()).withWatermark(
-        "last_updated", "1 day").dropDuplicatesWithinWatermark(["event_id", "last_updated"])
-    return unique.writeStream.outputMode("append").format("parquet").option("path", path).option(
-        "checkpointLocation", checkpoint)
+    """Append each fetched event with its fetch time, however old its update is.
+
+    A batch is a partition of the stored table, so that repeating it replaces its own rows; a (event, update) pair that
+    repeats within a batch is kept once. No state grows with the feed.
+    """
+    def append(batch: DataFrame, number: int) -> None:
+        batch.dropDuplicates(["event_id", "last_updated"]).withColumns({
+            "fetched_at": F.current_timestamp(), "batch": F.lit(number)}).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+    return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(append)
 
 
 def upsert_stream(rows: DataFrame, path: str, checkpoint: str, key: str, order: list[str]) -> DataStreamWriter:
@@ -61,8 +71,12 @@ def upsert_stream(rows: DataFrame, path: str, checkpoint: str, key: str, order:
         lambda batch, _: upsert(batch, path, key, order))
 
 
-def alert_events(alerts: DataFrame) -> DataFrame:
-    """Alerts (id, event, severity, headline, description, onset, expires, geometry) as typed events."""
+def alert_events(alerts: DataFrame, description_chars: int | None = 500) -> DataFrame:
+    """Alerts (id, event, severity, headline, description, onset, expires, geometry) as typed events.
+
+    The served description is cut to ``description_chars``; None keeps it whole.
+    """
+    described = F.coalesce("description", F.lit(""))
     text = F.concat(F.coalesce("event", F.lit("")), F.coalesce("headline", F.lit("")))
     kept = alerts.where(F.col("geometry").isNotNull() & (F.coalesce("event", F.lit("")) != ""))
     return kept.select(
@@ -70,7 +84,8 @@ def alert_events(alerts: DataFrame) -> DataFrame:
         F.when(weather.mentions(text, weather.ALERT_WORDS), "winter_condition").otherwise("weather_alert").alias("event_type"),
         weather.alert_severity(F.col("severity")).cast("bigint").alias("severity"),
         F.col("onset").alias("starts_at"), F.col("expires").alias("ends_at"), "event", "headline",
-        F.left(F.coalesce("description", F.lit("")), F.lit(500)).alias("description"), "geometry")
+        (described if description_chars is None else F.left(described, F.lit(description_chars))).alias("description"),
+        "geometry")
 
 
 def winter_alerts(alerts: DataFrame) -> DataFrame:

@@ -31,6 +31,9 @@ def test_codes_and_flags(spark):
         assert one(spark, encode.is_true(F.lit(text).cast("string"))) is flag
     assert one(spark, encode.number(F.lit("n/a"))) is None
     assert one(spark, encode.number(F.lit("NaN"))) is None
+    for text in ("12f", "3d", "Infinity", "0x1p3", "", "1e", "."):
+        assert one(spark, encode.number(F.lit(text))) is None
+    assert [one(spark, encode.number(F.lit(t))) for t in ("-1.5e3", "+.5", "7.")] == [-1500.0, 0.5, 7.0]
     assert one(spark, encode.number(F.lit(" 4.5 "))) == 4.5
     assert one(spark, encode.first_filled(F.lit(" "), F.lit(None).cast("string"), F.lit("b"))) == "b"
     assert one(spark, encode.day_of_millis(F.lit("1700000000000"))) == "2023-11-14"

@@ -115,6 +115,17 @@ def test_sample_keeps_positives_and_split_keeps_storms(spark):
     assert sum(v == "val" for v in split.values()) == 4
 
 
+def test_null_keys_keep_their_rows(spark):
+    df = spark.createDataFrame([(None, 1.0, 1), (None, 3.0, 2), ("a", 2.0, 5)], "k string, v double, n long")
+    got = {(r.k, r.v): (r.n_before, r.n_total) for r in ordered.running_totals(df, ["k"], "v", ["n"]).collect()}
+    assert got == {(None, 1.0): (0, 3), (None, 3.0): (1, 3), ("a", 2.0): (0, 5)}
+
+
+def test_large_cap_is_cut_in_parts_first(spark):
+    plan = ranking.capped_sample(scored(spark, [(1, 1, 0.5, 0.0, 0)]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window [") == 2 and plan.index("_salt") > 0
+
+
 def test_grades(spark):
     scores = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.0]
     df = ranking.relevance_grades(scored(spark, [(1, i, s, 0.0, 0) for i, s in enumerate(scores)]))

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from checks.compare import _texts
-from checks.fixtures import FIXTURES, TABLES
+from checks.fixtures import FIXTURES, TABLES, projection
 from checks.oracle import SQL, oracle_sql
 from checks.queries import QUERIES
 
@@ -61,6 +61,14 @@ def test_every_query_has_sql_or_is_a_model():
     assert set(SQL) <= set(QUERIES)
 
 
-def test_projections_take_whole_tables():
+def test_projections_take_whole_tables(spark):
     for name, text in FIXTURES.items():
         assert " limit " not in text.lower(), name
+    for name, table in {"fx_plow": "lineitem", "fx_closures": "orders", "fx_crashes": "orders", "fx_feed": "events"}.items():
+        assert projection(spark, SF, name).count() == spark.read.parquet(f"{SF}/{table}.parquet").count(), name
+
+
+def test_nothing_is_joined_to_the_unfolded_grid(spark):
+    plan = QUERIES["storm_labels"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[:plan.index("Union")]
+    assert "Join" not in above

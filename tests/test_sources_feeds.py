@@ -177,6 +177,39 @@ def test_upsert_keeps_latest_and_can_be_repeated(spark, tmp_path):
     assert sorted(feeds.read_upserted(spark, path).collect()) == [(1, 7, "b"), (2, 9, "e"), (3, 1, "d")]
 
 
+def test_snapshot_stream_keeps_late_updates(spark, tmp_path):
+    """Three batches, an old update last; repeating the job adds nothing."""
+    source, out = tmp_path / "in", tmp_path / "out"
+    for k, day in enumerate((10, 11, 5)):
+        row = [(f"e{k}", dt.datetime(2024, 1, day)), ("again", dt.datetime(2024, 1, 1))]
+        spark.createDataFrame(row * 2, "event_id string, last_updated timestamp").coalesce(1).write.parquet(
+            str(source / f"p={k}"))
+        stream = spark.readStream.schema("event_id string, last_updated timestamp").parquet(str(source))
+        for _ in range(2):
+            feeds.snapshot_stream(stream, str(out), str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    got = sorted(r.event_id for r in spark.read.parquet(str(out)).collect())
+    assert got == ["again"] * 3 + ["e0", "e1", "e2"]
+
+
+def test_upsert_reads_touched_buckets_and_leaves_no_stage(spark, tmp_path):
+    import glob
+
+    from frostline.session import shared_folder
+
+    path = str(tmp_path / "t")
+    for k in range(3):
+        feeds.upsert(spark.createDataFrame([(k, k, "a")], "k long, at long, v string"), path, "k", ["at"], buckets=8)
+    assert feeds.read_upserted(spark, path).count() == 3
+    assert not glob.glob(f"{shared_folder(spark).removeprefix('file://')}/**/upsert-*", recursive=True)
+
+
+def test_first_row_per_key_of_the_second_pass(spark):
+    a = spark.createDataFrame([("k", "", "first pass", 1)], "x string, y string, v string, n int")
+    b = spark.createDataFrame([("k", None, "known", 1), ("m", None, "late", 9), ("m", " ", "early", 2), ("m", "", "zz", 5)], a.schema)
+    got = cleaning.merge_passes(a, b, ["x", "y"], ["n"])
+    assert sorted((r.x, r.v) for r in got.collect()) == [("k", "first pass"), ("m", "early")]
+
+
 def test_snapshot_stream_drops_repeats(spark, tmp_path):
     source, out = tmp_path / "in", tmp_path / "out"
     at = dt.datetime(2024, 1, 1, 12)
