@@ -62,22 +62,34 @@ def _nine_cells(df: DataFrame, lat: str, lng: str, radius_m: float, metric: str)
 
 
 def _divide_crowded(points: DataFrame, places: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
-    """Salt the cells whose pair count exceeds ``limit``; other cells keep the single salt 0."""
+    """Divide the cells whose pair count exceeds ``limit``; other cells keep the single salt 0.
+
+    The larger side of a cell is cut into parts and the smaller one copied to each of them; where the smaller side is
+    large too, it is cut as well. So every task gets at most about ``limit`` pairs, and few rows are copied.
+    """
     cell = ["_cx", "_cy"]
+    a, b = F.col("_a"), F.col("_b")
+    few, many = F.least(a, b), F.greatest(a, b)
+    few_parts = F.ceil(few / F.lit(float(limit) ** 0.5))
+    many_parts = F.ceil(many * F.ceil(few / few_parts) / F.lit(float(limit)))
     parts = (
         points.groupBy(cell).agg(F.count("*").alias("_a"))
         .join(places.groupBy(cell).agg(F.count("*").alias("_b")), cell)
-        .where(F.col("_a") * F.col("_b") > limit)
-        .select(*cell, F.ceil(F.col("_a") * F.col("_b") / limit).cast("int").alias("_parts"))
+        .where(a * b > limit)
+        .select(*cell, F.when(a <= b, few_parts).otherwise(many_parts).cast("int").alias("_point_parts"),
+                F.when(a <= b, many_parts).otherwise(few_parts).cast("int").alias("_place_parts"))
     )
-    spread = [F.col(c) for c in points.columns if c not in cell]
-    points = points.join(parts, cell, "left").withColumn(
-        "_salt", F.when(F.col("_parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*spread), F.col("_parts")).cast("int"))
-    ).drop("_parts")
-    places = places.join(parts, cell, "left").withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1))
-    ).drop("_parts")
-    return points, places
+    own_points, own_places = F.coalesce("_point_parts", F.lit(1)), F.coalesce("_place_parts", F.lit(1))
+
+    def own(df, count):
+        return F.pmod(F.xxhash64(*[F.col(c) for c in df.columns if c not in cell]), count).cast("int")
+
+    # A salt stands for a part of the points and a part of the places.
+    divided_points = points.join(parts, cell, "left").withColumn("_salt", F.explode(F.transform(
+        F.sequence(F.lit(0), own_places - 1), lambda j: own(points, own_points) * own_places + j)))
+    divided_places = places.join(parts, cell, "left").withColumn("_salt", F.explode(F.transform(
+        F.sequence(F.lit(0), own_points - 1), lambda i: i * own_places + own(places, own_places))))
+    return divided_points.drop("_point_parts", "_place_parts"), divided_places.drop("_point_parts", "_place_parts")
 
 
 def pairs_within(points: DataFrame, places: DataFrame, radius_m: float, *, point_at=("lat", "lng"),

@@ -102,3 +102,17 @@ def test_box_overlap(spark):
     rows = [(r.box_id, r.id) for r in got.collect()]
     want = {(b[0], m[0]) for b in boxes for m in lines if m[3] >= b[1] and m[1] <= b[3] and m[4] >= b[2] and m[2] <= b[4]}
     assert len(rows) == len(set(rows)) and set(rows) == want
+
+
+@pytest.mark.parametrize("n_points, n_places", [(2, 900), (900, 2), (300, 300), (1, 1)])
+def test_crowded_cells_are_cut_on_both_sides(spark, n_points, n_places):
+    from pyspark.sql import functions as F
+
+    def cell(n):
+        return spark.range(n).select(F.lit(1).alias("_cx"), F.lit(1).alias("_cy"), F.col("id"))
+
+    left, right = spatial._divide_crowded(cell(n_points), cell(n_places).withColumnRenamed("id", "other"), 400)
+    pairs = left.join(right, ["_cx", "_cy", "_salt"])
+    assert pairs.count() == pairs.distinct().count() == n_points * n_places
+    assert pairs.groupBy("_salt").count().agg(F.max("count")).first()[0] <= 1000
+    assert left.count() + right.count() <= n_points + n_places + 2 * n_points * n_places / 20 + 20
