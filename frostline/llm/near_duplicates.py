@@ -20,7 +20,7 @@ SHINGLE, PERCENT = 5, 80
 REGISTERS, ROWS = 256, 6  # a pair at 0.8 is missed by all 42 bands with probability 3e-6
 BASE, RATE = 1.005, 20.0
 MARGIN = 0.12  # over 5 standard deviations of the estimate
-STARS = 3
+STARS = 1
 SMALL, BLOCK_ROWS, BLOCK_SHINGLES = 12, 1000, 2_000_000
 
 
@@ -198,8 +198,8 @@ class _Search:
         return cut_lineage(rows, "near-open")
 
     def star(self, rows: DataFrame, turn: int) -> DataFrame:
-        """Pairs of each node with one node of its band, another one each turn."""
-        by = F.xxhash64("node", F.lit(turn))
+        """Pairs of each node with one node of its band, another one in each band and turn."""
+        by = F.xxhash64("node", "band", F.lit(turn))
         heads = rows.groupBy("band").agg(F.min_by(F.struct("node", "part", "n_shingles"), by).alias("head"))
         return rows.join(heads, "band").where(
             (F.col("part") != F.col("head.part")) & self.may_link("n_shingles", "head.n_shingles")).select(
@@ -300,7 +300,7 @@ def near_duplicates(events: DataFrame, shingle: int = SHINGLE, percent: int = PE
 
     Equal sets become one node first. Nodes that share a band of registers are candidates. Within a band every node is
     tried against one head, which ties a large group of copies together with as many pairs as nodes; after ``STARS`` such
-    turns all pairs of a band that still lie in different parts are tried, so no candidate link between parts is left
+    turns, all pairs of a band that still lie in different parts are tried, so no candidate link between parts is left
     out. Candidates pass the likelihood estimate with a wide margin before the exact check. In bands of more than
     ``SMALL`` rows that step compares blocks of bounded size exactly and returns links only. No group is collected.
 
