@@ -20,8 +20,8 @@ SHINGLE, PERCENT = 5, 80
 REGISTERS, ROWS = 256, 6  # a pair at 0.8 is missed by all 42 bands with probability 3e-6
 BASE, RATE = 1.005, 20.0
 MARGIN = 0.12  # over 5 standard deviations of the estimate
-STARS = 2
-SMALL, BLOCK_ROWS, BLOCK_SHINGLES = 12, 1000, 2_000_000
+STARS = 1
+SMALL, BLOCK_ROWS, BLOCK_SHINGLES = 6, 1000, 2_000_000
 
 
 def registers(sets: list[np.ndarray]) -> np.ndarray:
@@ -121,7 +121,7 @@ class _Search:
         self.classes = cut_lineage(full.groupBy("node").agg(one).select("node", "of.*"), "near-classes")
         bands = self.classes.select("node", "n_shingles", F.explode("bands").alias("band"))
         crowd = bands.groupBy("band").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head <> tail")
-        self.bands = cut_lineage(bands.join(crowd.select("band"), "band"), "near-bands")
+        self.bands = cut_lineage(bands.join(crowd.select("band"), "band", "left_semi"), "near-bands")
         self.tested = self.links = None
 
     def may_link(self, a: str, b: str):
@@ -186,16 +186,11 @@ class _Search:
         nodes = ends.select(F.col("src").alias("node")).union(ends.select("dst")).distinct()
         return cut_lineage(components(nodes, ends).withColumnRenamed("component", "part"), "near-parts")
 
-    def open_bands(self, parts: DataFrame | None) -> DataFrame:
-        """Rows of the bands whose nodes are not all in one part yet, with their part."""
-        rows = self.bands
-        if parts is not None:
-            rows = rows.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-            mixed_bands = rows.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q")
-            rows = rows.join(mixed_bands.select("band"), "band")
-        else:
-            rows = rows.withColumn("part", F.col("node"))
-        return cut_lineage(rows, "near-open")
+    def in_parts(self, parts: DataFrame | None) -> DataFrame:
+        """Rows of the bands with the part of their node."""
+        if parts is None:
+            return self.bands.withColumn("part", F.col("node"))
+        return self.bands.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
 
     def star(self, rows: DataFrame, turn: int) -> DataFrame:
         """Pairs of each node with one node of its band, another one each turn."""
@@ -206,10 +201,10 @@ class _Search:
             F.col("node").alias("a"), F.col("head.node").alias("b"))
 
     def bands_apart(self, rows: DataFrame) -> DataFrame:
-        """Rows of open bands with their size, and whether they lie outside the largest part of their band."""
+        """Rows of the bands that hold several parts, with the band's size, and whether they lie outside its largest part."""
         sizes = rows.groupBy("band", "part").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s"))
         bands = sizes.groupBy("band").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.sum("n").alias("rows"),
-                                          F.sum("s").alias("shingles_sum"))
+                                          F.sum("s").alias("shingles_sum"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
         return rows.join(bands, "band").withColumn("minor", F.col("part") != F.col("main"))
 
     def across(self, rows: DataFrame) -> DataFrame:
@@ -309,15 +304,12 @@ def near_duplicates(events: DataFrame, shingle: int = SHINGLE, percent: int = PE
     """
     rows = cut_lineage(sketches(events, shingle, event_id, description), "near-sketches")
     search = _Search(events, rows, shingle, percent, event_id, description)
-    open_rows, parts = search.open_bands(None), None
+    parts = None
     for turn in range(STARS):
-        if open_rows.isEmpty():
-            break
-        search.test(search.star(open_rows, turn))
+        search.test(search.star(search.in_parts(parts), turn))
         parts = search.parts()
-        open_rows = search.open_bands(parts)
-    if not open_rows.isEmpty():
-        apart = cut_lineage(search.bands_apart(open_rows), "near-apart")
+    apart = cut_lineage(search.bands_apart(search.in_parts(parts)), "near-apart")
+    if not apart.isEmpty():
         search.test(search.across(apart))
         search.link_blocks(apart)
         parts = search.parts()

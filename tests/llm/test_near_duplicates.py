@@ -80,10 +80,9 @@ def test_a_large_group_makes_few_pairs(spark):
     rows = [(i, " ".join([*base[:-2], f"a{i}", f"b{i}"])) for i in range(400)]
     df = events(spark, rows, clash=False)
     search = nd._Search(df, nd.sketches(df, 5, "event_id", "description"), 5, 80, "event_id", "description")
-    open_rows = search.open_bands(None)
-    search.test(search.star(open_rows, 0))
+    search.test(search.star(search.in_parts(None), 0))
     assert search.tested.count() < 4 * len(rows)
-    apart = search.bands_apart(search.open_bands(search.parts()))
+    apart = search.bands_apart(search.in_parts(search.parts()))
     assert search.across(apart).count() < 4 * len(rows)
 
 
