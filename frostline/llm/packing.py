@@ -127,13 +127,16 @@ def worker_encoder(path: str, ranks_path: str | None) -> Encoder:
 
 
 def text_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about ``limit`` bytes of text each, at least one row."""
+    """Parts of a batch with about ``limit`` bytes of text each, at least one row.
+
+    Parts are copies: lower-casing a slice of a text column reads its buffer from the wrong place.
+    """
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     part = np.cumsum(sizes) // limit
     edges = np.flatnonzero(np.diff(part)) + 1
     for a, b in zip([0, *edges], [*edges, len(sizes)]):
         if b > a:
-            yield batch.slice(int(a), int(b - a))
+            yield batch if b - a == batch.num_rows else batch.take(pa.array(np.arange(a, b)))
 
 
 def token_pieces(events: DataFrame, tokenizer_path: str, event_id: str = "event_id", description: str = "description",

@@ -113,6 +113,21 @@ def test_shingle_counts_equal_a_loop():
         assert [len(s) for s in shingle_sets(pa.array([t or "" for t in texts]), k)] == [len(shingles(t, k)) for t in texts]
 
 
+def test_parts_of_a_batch_give_the_same_words():
+    from frostline.llm.packing import text_chunks
+    from frostline.llm.quality_classifier import gram_lists
+
+    texts = [t or "" for _, t in descriptions() if t is None or len(t) < 3000] + ["Été ÀÉ\u0080 Straße " * 20]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts * 3)], ["text"])
+    parts = [b.column("text") for b in text_chunks(batch, "text", 700)]
+    assert len(parts) > 5 and sum(map(len, parts)) == 3 * len(texts)
+    whole = shingle_sets(batch.column("text"), 3)
+    assert all((a == b).all() for a, b in zip(whole, [s for p in parts for s in shingle_sets(p, 3)]))
+    for a, b in zip(gram_lists(batch.column("text")), (g for p in parts for g in gram_lists(p))):
+        assert sorted(a.tolist()) == sorted(b.tolist())
+    assert [len(s) for s in whole] == [len(shingles(t, 3)) for t in texts] * 3
+
+
 def test_empty_table(spark):
     assert nd.near_duplicates(events(spark).where("false")).count() == 0
     only = nd.near_duplicates(events(spark, [(7, "one text of some words")]).withColumn("kept", F.lit(1))).collect()
