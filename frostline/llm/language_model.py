@@ -21,7 +21,7 @@ STATES, ROUNDS = 10, 4
 LEXICON, ENDINGS = 6000, 2048  # frequent words with a symbol of their own; classes of the other words, by their ending
 COUNTED = 100_000  # words whose counts every task holds; the counts of the others are joined
 WARM_ROWS, WARM_ROUNDS = 1500, 12
-WINDOW, TOGETHER = 128, 2048
+WINDOW, TOGETHER = 128, 512
 END = ""  # the end of a text, counted as a token; no word is empty
 _TRUST = 2.0  # weight of the overall symbol shares in a state's emissions
 
@@ -57,7 +57,7 @@ def training_counts(events: DataFrame, description: str) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in text_chunks(whole, "text", 32 << 20):
+            for batch in text_chunks(whole, "text"):
                 coded, _ = word_lists(batch.column("text"))
                 n = np.bincount(coded.indices.to_numpy(), minlength=len(coded.dictionary)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
