@@ -54,8 +54,12 @@ def license_hits(texts: DataFrame, keys: list[str], tokens: str) -> DataFrame:
 
     All rolling k-gram hashes are joined to the template positions; equal hashes of unequal words are dropped in the join.
     A hit votes for its diagonal, the text position minus the template position. In long templates neighbouring
-    diagonals whose positions are no more than ``SLACK`` apart are merged, which bridges inserted and missing words. A
-    place stands if its merged diagonals hold every k-gram of a short template, or ``SHARE`` of a long one's.
+    diagonals whose positions are no more than ``SLACK`` apart are merged, which bridges inserted and missing words. The
+    span of merged diagonals is then verified: from each hit, the longest chain in which text and template positions both
+    rise is sought, no longer than the template and ``SLACK`` words for each k-gram that may be missing. So a k-gram of the
+    text counts once, as does one of the template, and repeated or scattered words add nothing. A place stands if its best
+    chain holds every k-gram of a short template, or ``SHARE`` of a long one's; it starts where the chain does. Rows that
+    agree in the keys count once.
     """
     words = F.col(tokens)
     grams = F.transform(F.slice(words, 1, F.greatest(F.size(words) - (K - 1), F.lit(0))), lambda w, i: F.struct(
@@ -66,18 +70,49 @@ def license_hits(texts: DataFrame, keys: list[str], tokens: str) -> DataFrame:
     found = rolled.join(F.broadcast(template_grams(texts.sparkSession)), (F.col("gram_hash") == F.col("hash")) & (
         F.col("a") == F.col("first")) & (F.col("b") == F.col("second")))
     found = found.withColumn("diagonal", F.col("position") - F.col("at"))
-    lines = found.groupBy(*keys, "template", "label", "base", "n_grams", "diagonal").agg(
-        F.count("*").alias("votes"), F.min("at").alias("low"), F.max("at").alias("high"))
+    template = ["template", "label", "base", "n_grams"]
+    lines = found.groupBy(*keys, *template, "diagonal").agg(F.collect_set("at").alias("ats"))
     order = Window.partitionBy(*keys, "template").orderBy("diagonal")
     apart = F.col("diagonal") - F.lag("diagonal").over(order)
-    joined = F.coalesce((F.col("n_grams") >= LONG - K + 1) & (apart <= SLACK), F.lit(False))
-    lines = lines.withColumn("opens", F.when(joined, 0).otherwise(1))
+    is_long = F.col("n_grams") >= LONG - K + 1
+    lines = lines.withColumn("opens", F.when(F.coalesce(is_long & (apart <= SLACK), F.lit(False)), 0).otherwise(1))
     lines = lines.withColumn("place", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    places = lines.groupBy(*keys, "template", "label", "base", "n_grams", "place").agg(
-        F.sum("votes").alias("votes"), F.min(F.col("diagonal") + F.col("low")).cast("long").alias("start"))
-    share = F.least(F.col("votes") / F.col("n_grams"), F.lit(1.0))
-    needed = F.when(F.col("n_grams") >= LONG - K + 1, F.lit(SHARE)).otherwise(1.0)
-    return places.withColumn("share", share).where(F.col("share") >= needed).select(*keys, "label", "base", "start", "share")
+    within = Window.partitionBy(*keys, "template", "place")
+    # No chain is longer than the hits of its place, which leaves few places to be verified.
+    needed = F.when(is_long, F.ceil(F.col("n_grams") * SHARE - 1e-9)).otherwise(F.col("n_grams")).cast("int")
+    lines = lines.withColumn("needed", needed).withColumn("hits", F.sum(F.size("ats")).over(within))
+    hits = lines.where("hits >= needed").select(*keys, *template, "place", "needed", "diagonal", F.explode("ats").alias("at"))
+    hits = hits.withColumn("position", F.col("diagonal") + F.col("at"))
+    furthest = max(_reach(len(phrase.split()) - K + 1) for phrase, _ in [*BASE, *FURTHER])
+    ahead = within.orderBy("position").rangeBetween(0, furthest)
+    hits = hits.withColumn("ahead", F.collect_list(F.struct("position", "at")).over(ahead))
+    reach = F.col("n_grams") - 1 + SLACK * (F.col("n_grams") - F.col("needed"))
+    hits = hits.withColumn("ahead", F.array_sort(F.filter("ahead", lambda h: (
+        h["position"] > F.col("position")) & (h["position"] <= F.col("position") + reach) & (h["at"] > F.col("at")))))
+    hits = hits.where(F.size("ahead") + 1 >= F.col("needed")).withColumn("votes", _longest_chain())
+    places = hits.where("votes >= needed").groupBy(*keys, *template, "place").agg(
+        F.max(F.struct("votes", (-F.col("position")).alias("back"))).alias("best"))
+    return places.select(*keys, "label", "base", (-F.col("best.back")).cast("long").alias("start"),
+                         (F.col("best.votes") / F.col("n_grams")).alias("share"))
+
+
+def _reach(n_grams: int) -> int:
+    """Text positions from the first k-gram of a chain to its last, at most."""
+    return n_grams - 1 + SLACK * int(n_grams * (1 - SHARE) + 1e-9)
+
+
+def _longest_chain() -> Column:
+    """Hits in the longest chain that starts at (``position``, ``at``) and goes on in ``ahead``, sorted by position."""
+    def link(position, at, votes):
+        return F.struct(position.alias("position"), at.alias("at"), votes.alias("votes"))
+
+    def longer(chains, hit):
+        before = F.filter(chains, lambda c: (c["position"] < hit["position"]) & (c["at"] < hit["at"]))
+        return F.concat(chains, F.array(link(
+            hit["position"], hit["at"], F.array_max(F.transform(before, lambda c: c["votes"])) + 1)))
+
+    first = F.array(link(F.col("position"), F.col("at"), F.lit(1)))
+    return F.aggregate("ahead", first, longer, lambda chains: F.array_max(F.transform(chains, lambda c: c["votes"])))
 
 
 def scan_licenses(releases: DataFrame, release_id: str = "url", text: str = "text") -> DataFrame:
@@ -92,7 +127,7 @@ def scan_licenses(releases: DataFrame, release_id: str = "url", text: str = "tex
     """
     base = releases.select(F.col(quoted(release_id)).alias("release_id"), given(text).alias("body"))
     base = base.withColumn("digest", F.xxhash64("body")).withColumn("tokens", notice_words(F.col("body")))
-    hits = license_hits(base, ["release_id", "digest"], "tokens").distinct()
+    hits = license_hits(base, ["release_id", "digest"], "tokens")
     marked = F.when(F.col("base"), F.col("start"))
 
     def listed(label: Column) -> Column:
