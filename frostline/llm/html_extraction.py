@@ -27,6 +27,7 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code"
           "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "link", "meta"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 FRAME = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
+FORMS = {"form", "fieldset"}
 MAIN = {"article", "main"}
 FRAME_WORDS = {"nav", "navbar", "navigation", "menu", "header", "footer", "sidebar", "side", "aside", "widget", "ad", "ads",
                "adv", "advert", "adverts", "advertisement", "banner", "promo", "promotion", "sponsor", "sponsored", "cookie",
@@ -35,9 +36,24 @@ FRAME_WORDS = {"nav", "navbar", "navigation", "menu", "header", "footer", "sideb
                "breadcrumbs", "newsletter", "subscribe", "subscription", "signup", "login", "search", "toolbar", "pagination",
                "pager", "tags", "skip", "copyright", "legal", "disclaimer", "complementary", "contentinfo", "dialog", "hidden",
                "respond", "form", "toc"}
+# Parts that may stand beside frame words in a name. Others, as in has-sidebar or overflow-hidden, make it another name.
+PLACE_WORDS = {"site", "page", "main", "global", "primary", "secondary", "left", "right", "top", "bottom", "upper", "lower",
+               "list", "box", "bar", "area", "block", "links", "section", "inner", "posts", "buttons", "form", "the", "and"}
+# Frame words that wrappers of whole pages bear too.
+WRAP_WORDS = {"form", "search", "header", "side", "sidebar", "notice", "notices", "alert", "legal", "tags", "modal", "overlay"}
 MAIN_WORDS = {"article", "content", "main", "post", "entry", "story", "body", "text"}
 
 
+# How firmly a container frames the page.
+NAMED, ELEMENT, HIDDEN = 1, 2, 3
+# Start tags that end an open paragraph or item, as browsers read them.
+ENDS_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "dd", "dt", "fieldset",
+          "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "menu",
+          "nav", "ol", "p", "pre", "section", "summary", "table", "ul"}
+ENDS_ITEM = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr"}}
+INSIDE_ITEM = {"p", "div", "address"}
+
+
 class Block(NamedTuple):
     """A run of text without a block boundary, and where it stands."""
 
@@ -139,33 +155,90 @@ def classify(tree: Tree, features: np.ndarray) -> np.ndarray:
         node[inner] = np.where(low, tree.low[at], tree.high[at])
 
 
-def _marks(tag: str) -> tuple[bool, bool]:
-    """Whether attributes say that an element frames the page, or holds its main text."""
-    frame = main = False
+def _named(name: str) -> tuple[bool, bool]:
+    """Whether a whole name is that of a frame, and whether wrappers of whole pages bear it too."""
+    parts = set(re.split(r"[^a-z]+", name)) - {""}
+    found = parts & FRAME_WORDS
+    frame = bool(found) and parts <= FRAME_WORDS | PLACE_WORDS
+    return frame, frame and found <= WRAP_WORDS
+
+
+def _marks(tag: str) -> tuple[int, bool, bool]:
+    """How firmly attributes say that an element frames the page, whether it may wrap it, and whether it holds main text."""
+    level, wraps, main = 0, False, False
     for name, value in MARK.findall(tag):
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "hidden" or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
-            frame = True
+            level = HIDDEN
         elif name != "style":
-            parts = set(re.split(r"[^a-z]+", value))
-            frame |= bool(parts & FRAME_WORDS)
-            main |= bool(parts & MAIN_WORDS)
-    return frame, main
+            for frame, wrap in map(_named, [value] if name == "aria-label" else value.split()):
+                if wrap:
+                    wraps = True
+                elif frame:
+                    level = max(level, NAMED)
+            main |= bool(set(re.split(r"[^a-z]+", value)) & MAIN_WORDS)
+    return level, wraps, main
+
+
+def _ended(open_: list[tuple], name: str) -> int:
+    """Number of open elements that stay open when a start tag of this name ends a paragraph or item before it."""
+    stay = len(open_)
+    ends = ENDS_ITEM.get(name, ())
+    for depth in range(len(open_) - 1 if ends else -1, -1, -1):
+        of = open_[depth][0]
+        if of in ends:
+            stay = depth
+            break
+        if of not in INLINE and of not in INSIDE_ITEM and not (name == "tr" and of in ("td", "th")):
+            break
+    for depth in range(stay - 1 if name in ENDS_P else -1, -1, -1):
+        if open_[depth][0] == "p":
+            return depth
+        if open_[depth][0] not in INLINE:
+            break
+    return stay
+
+
+def _page_wrappers(found: list[Block], inside: list[tuple[int, ...]], forms: set[int]) -> set[int]:
+    """Containers that hold most of the unlinked words of the page: they wrap it and frame nothing.
+
+    One that is no form does so only if the page has no marked main text outside of frames.
+    """
+    held: dict[int, int] = {}
+    every, marked = 0, False
+    for block, within in zip(found, inside):
+        if not block.framed:
+            every += block.words - block.linked
+            marked |= block.main and not within
+            for k in within:
+                held[k] = held.get(k, 0) + block.words - block.linked
+    return {k for k, words in held.items() if 2 * words > every and (k in forms or not marked)}
 
 
 def blocks(page: str) -> list[Block]:
-    """The flat text blocks of a page in page order; unclosed or cut elements end with the page."""
+    """The flat text blocks of a page in page order.
+
+    A paragraph or item left open ends where the next begins, other unclosed or cut elements with what holds them. Forms,
+    and names that wrappers of whole pages bear too, frame their blocks unless they hold most of the page. An article or
+    main element starts unframed, except in a hidden one; an article also stays framed in a frame's element, or by a
+    frame's name within main text.
+    """
     out: list[Block] = []
-    open_: list[tuple[str, bool, bool]] = []  # element, framed, main
+    inside: list[tuple[int, ...]] = []  # possible wrappers of each block
+    open_: list[tuple[str, int, tuple[int, ...], bool]] = []  # element, framed, wrappers, main
+    wrappers: tuple[int, ...] = ()
+    forms: set[int] = set()
+    n_wrappers = 0
     text: list[str] = []
     linked = links = 0
-    framed = main = heading = False
+    framed, main, heading = 0, False, False
 
     def close() -> None:
         nonlocal linked
         joined = BLANK.sub(" ", entities.unescape("".join(text))).strip()
         if joined:
-            out.append(Block(joined, joined.count(" ") + 1, linked, framed, main, heading))
+            out.append(Block(joined, joined.count(" ") + 1, linked, framed > 0, main, heading))
+            inside.append(wrappers)
         text.clear()
         linked = 0
 
@@ -199,35 +272,48 @@ def blocks(page: str) -> list[Block]:
                 links = max(0, links - 1) if ends else 1
             elif name in ("br", "img", "input"):
                 text.append(" ")
-            elif not ends and " " in tag and _marks(tag)[0]:
+            elif not ends and BLANK.search(tag) and any((marks := _marks(tag))[:2]):
                 close()
-                open_.append((name, framed, main))
-                framed = True
+                open_.append((name, framed, wrappers, main))
+                framed = max(framed, marks[0] or NAMED)
             elif ends and open_ and open_[-1][0] == name:
                 close()
-                _, framed, main = open_.pop()
+                _, framed, wrappers, main = open_.pop()
             continue
         close()
         links = 0
+        if not ends and (stay := _ended(open_, name)) < len(open_):
+            _, framed, wrappers, main = open_[stay]
+            del open_[stay:]
         heading = not ends and bool(re.fullmatch(r"h[1-6]", name))
         if name in VOID:
             continue
         if not ends:
-            frame, holds = _marks(tag) if " " in tag or "\n" in tag else (False, False)
-            open_.append((name, framed, main))
+            level, wraps, holds = _marks(tag) if BLANK.search(tag) else (0, False, False)
+            open_.append((name, framed, wrappers, main))
             if name in MAIN:
-                framed, main = framed or frame, True
+                if framed < HIDDEN and (name == "main" or framed < (NAMED if main else ELEMENT)):
+                    framed, wrappers = 0, ()
+                framed, main = max(framed, level), True
             elif name not in ("html", "body"):
-                framed = framed or frame or name in FRAME or (name == "header" and not main)
-                main = main or (holds and not frame)
+                if name in FRAME - FORMS or (name == "header" and not main):
+                    level = max(level, ELEMENT)
+                framed = max(framed, level)
+                main = main or (holds and not level and not wraps)
+            if (wraps or name in FORMS) and name not in ("html", "body"):
+                wrappers += (n_wrappers,)
+                if name in FORMS:
+                    forms.add(n_wrappers)
+                n_wrappers += 1
         else:
             for depth in range(len(open_) - 1, -1, -1):
                 if open_[depth][0] == name:
-                    _, framed, main = open_[depth]
+                    _, framed, wrappers, main = open_[depth]
                     del open_[depth:]
                     break
     close()
-    return out
+    whole = _page_wrappers(out, inside, forms)
+    return [b._replace(framed=b.framed or not whole.issuperset(within)) for b, within in zip(out, inside)]
 
 
 def block_features(found: list[Block]) -> np.ndarray:
