@@ -301,7 +301,7 @@ def gbt_scores(spark, sf):
     """Train on the sampled matrix, score each scenario day on every segment."""
     i = Inputs(spark, sf)
     matrix = cut_lineage(i.matrix(), "matrix")
-    fitted = model.train_ranker(matrix, rounds=2, maxDepth=3, subsamplingRate=0.2)
+    fitted = model.train_ranker(matrix)
     good, _ = cleaning.check_scenarios(i.scenarios)
     static = matrix.select("objectid", *training.STATIC).dropDuplicates(["objectid"])
     return scenario.predict(fitted, static, scenario.fill_scenarios(good)).select(
@@ -311,7 +311,7 @@ def gbt_scores(spark, sf):
 @query
 def feature_importance(spark, sf):
     matrix = cut_lineage(Inputs(spark, sf).matrix(), "matrix")
-    return model.top_features(model.train_regression(matrix, rounds=2, maxDepth=3, subsamplingRate=0.2))
+    return model.top_features(model.train_regression(matrix))
 
 
 @query
