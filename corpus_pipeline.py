@@ -38,8 +38,8 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, those of small sources up to 1.25 times."""
-    mixed = mixing.mix_sources(docs, max_repeats=1.25, event_id="doc_id", source="source", description="text")
+    """Every document at least once, those of small sources up to ``mixing.MAX_REPEATS`` times."""
+    mixed = mixing.mix_sources(docs, event_id="doc_id", source="source", description="text")
     return mixed.select(*docs.columns)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from frostline.llm.columns import given, quoted, words
@@ -10,6 +10,8 @@ from frostline.session import cut_lineage
 
 BLOCKS = 4096
 PARTS, ROUNDS = 32, 5
+# Passes of the most repeated source to one of the least: up to about four, repeated text serves almost like new text.
+MAX_REPEATS = 4.0
 
 
 def source_tokens(events: DataFrame, source: str = "data_source", description: str = "description") -> DataFrame:
@@ -90,15 +92,27 @@ def _rank_of(*parts) -> Column:
     return F.xxhash64(*parts)
 
 
-def mix_sources(events: DataFrame, max_repeats: float | None = 1.25, target_entropy: float | None = None,
+def _fitting(blocks: Column, left: Column) -> Column:
+    """For each block in turn, whether it has tokens that fit into what the blocks taken before have left."""
+    def step(state, block):
+        fits = (block["tokens"] > 0) & (block["tokens"] <= state["left"])
+        return F.struct((state["left"] - F.when(fits, block["tokens"]).otherwise(0)).alias("left"),
+                        F.concat(state["taken"], F.array(fits)).alias("taken"))
+
+    start = F.struct(left.cast("double").alias("left"), F.array().cast("array<boolean>").alias("taken"))
+    return F.aggregate(blocks, start, step, lambda state: state["taken"])
+
+
+def mix_sources(events: DataFrame, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None,
                 budget_tokens: int | None = None, event_id: str = "event_id", source: str = "data_source",
                 description: str = "description", seed: int = 0) -> DataFrame:
     """Repeat events so that the words of each data source follow tempered weights.
 
     Source shares are raised to the exponent of ``temperature`` and normalised. Rows are dealt to ``BLOCKS`` blocks a
     source by a hash of the id and text. A source is passed in epochs, each with its own permutation of the blocks:
-    whole epochs first, then the blocks of the last permutation whose running total stays within what is left of the
-    source's budget. So a source misses its budget by less than a block, and rows of a block stay together. Adds
+    whole epochs first, then each block of the last permutation that fits into what is left of the source's budget; one
+    that does not is skipped. So a source misses its budget by less than any block left out, and rows of a block stay
+    together. Adds
     ``mix``: struct of epoch, block, weight and position, a number in (0, 1] by which sorting interleaves the sources in
     proportion; a given column of that name is replaced. Null sources form a source; null texts have no words and follow
     their block. Repeated rows share a block and each is passed as often. An empty table gives an empty result.
@@ -118,12 +132,14 @@ def mix_sources(events: DataFrame, max_repeats: float | None = 1.25, target_entr
     plan = plan.select(F.col("source").alias("of"), F.col("tokens").alias("all_tokens"), "weight", "repeats",
                        F.floor(F.col("repeats") + 1e-9).cast("int").alias("whole"))
     dealt = blocks.join(plan, F.col("source").eqNullSafe(F.col("of")))
-    order = Window.partitionBy("source").orderBy(_rank_of("block", "whole", F.lit(seed)), "block")  # BLOCKS rows at most
-    dealt = dealt.withColumn("running", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    left = (F.col("repeats") - F.col("whole")) * F.col("all_tokens")
-    dealt = dealt.select(
-        F.col("source").alias("of"), F.col("block").alias("of_block"), "weight", "repeats",
-        (F.col("whole") + F.when((F.col("running") <= left + 1e-6) & (F.col("tokens") > 0), 1).otherwise(0)).alias("passes"))
+    # One array of at most BLOCKS blocks a source, in the order of its last permutation.
+    dealt = dealt.groupBy("of", "weight", "repeats", "whole", "all_tokens").agg(F.array_sort(F.collect_list(F.struct(
+        _rank_of("block", "whole", F.lit(seed)).alias("rank"), "block", "tokens"))).alias("blocks"))
+    left = (F.col("repeats") - F.col("whole")) * F.col("all_tokens") + 1e-6
+    dealt = dealt.withColumn("taken", _fitting(F.col("blocks"), left)).select(
+        "of", "weight", "repeats", "whole", F.explode(F.arrays_zip("blocks", "taken")).alias("dealt"))
+    dealt = dealt.select("of", F.col("dealt.blocks.block").alias("of_block"), "weight", "repeats", (
+        F.col("whole") + F.col("dealt.taken").cast("int")).alias("passes"))
     df = df.join(dealt, F.col("source").eqNullSafe(F.col("of")) & (F.col("block") == F.col("of_block")))
     df = df.where("passes > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.col("passes") - 1)))
     at = F.pmod(_rank_of("block", "epoch", F.lit(seed)), F.lit(2 ** 31)) / F.lit(float(2 ** 31))
