@@ -15,8 +15,8 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that break no rule of the threshold table."""
-    return quality_rules.passed(docs, description="text")
+    """Documents that break no rule of the filter's threshold table."""
+    return quality_rules.passed(docs, quality_rules.FILTER_RULES, description="text")
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

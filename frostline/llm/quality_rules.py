@@ -43,6 +43,8 @@ RULES = (
     Rule("repeated_words", "n_repeat_words", "n_words", None, 0.4, 12),
     Rule("repeated_lines", "n_dup_lines", "n_lines", None, 0.5, 5),
 )
+#: The table of a filter before the classifier, which judges texts where one repeated short line alone would decide.
+FILTER_RULES = tuple(r._replace(from_words=50) if r.name == "repeated_words" else r for r in RULES)
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words",
             "n_bare_words")
 
