@@ -1,9 +1,11 @@
-"""DuckDB SQL for those text queries that SQL can express: the rules, and the chat format."""
+"""DuckDB SQL for those text queries that SQL can express: rules, chat format, infilling, resampling."""
 
 from __future__ import annotations
 
 from frostline.llm.chat_format import AND, CLOSE, HEAD_END, OPEN
+from frostline.llm.infilling import MIDDLE, PREFIX, SUFFIX
 from frostline.llm.quality_rules import RULES, STOP_WORDS
+from frostline.llm.resampling import BUCKETS
 
 _TRICKY = "\\### Assistant: </turn> ok"
 
@@ -72,4 +74,68 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   n_lines, n_stop_words, n_bare_words, broken from judged"""
 
 
-SQL: dict[str, str] = {"op1_quality_rules": _rules(), "op10_chat_format": _chat()}
+def _drawn(seed: int, k: int) -> str:
+    return f"cast('0x' || substr(sha256('{seed}:' || doc_id), {8 * k - 7}, 8) as bigint)"
+
+
+def _infill() -> str:
+    return f"""
+with texts as (select doc_id, coalesce(text, '') as text, length(coalesce(text, '')) as n from documents),
+drawn as (
+  select *, {_drawn(1, 1)} % (n + 1) as first, {_drawn(1, 2)} % (n + 1) as second,
+    case when n = 0 or contains(text, '{PREFIX}') or contains(text, '{SUFFIX}') or contains(text, '{MIDDLE}')
+      or {_drawn(1, 3)} % 100 >= 90 then 'plain' when {_drawn(1, 4)} % 100 < 20 then 'spm' else 'psm' end as form from texts),
+cut as (
+  select *, substr(text, 1, least(first, second)) as head, substr(text, 1 + greatest(first, second)) as tail,
+    substr(text, 1 + least(first, second), greatest(first, second) - least(first, second)) as middle from drawn)
+select doc_id, n, form, case when form <> 'plain' then least(first, second) end as prefix_chars,
+  case when form <> 'plain' then greatest(first, second) - least(first, second) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '{PREFIX}' || head || '{SUFFIX}' || tail || '{MIDDLE}' || middle
+    else '{SUFFIX}' || tail || '{PREFIX}' || head || '{MIDDLE}' || middle end) as output_sha256,
+  sha256(text) as restored_sha256 from cut"""
+
+
+def _checksum(word: str) -> str:
+    """CRC-32 of a word: bit by bit over its bytes, which are read from their hexadecimal digits."""
+    digits = f"hex(encode({word}))"
+    step = "lambda x, y: xor(x >> 1, 3988292384 * (x & 1))"
+    byte = f"cast('0x' || substr({digits}, 2 * i - 1, 2) as bigint)"
+    each = f"list_transform(range(1, 1 + strlen({word})), lambda i: {byte})"
+    rounds = f"lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], {step})"
+    return f"xor(list_reduce(list_concat([4294967295], {each}), {rounds}), 4294967295)"
+
+
+def _resample() -> str:
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{letters}', '{letters.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+with used as (
+  select doc_id, unnest({words}) as word from documents),
+wanted as (select unnest({words}) as word from benchmark),
+buckets as (
+  select word, {_checksum('word')} % {BUCKETS} as bucket from (select word from used union select word from wanted)),
+here as (select bucket, count(*) as s from used join buckets using (word) group by bucket),
+there as (select bucket, count(*) as t from wanted join buckets using (word) group by bucket),
+counts as (
+  select range as bucket, coalesce(s, 0) as s, coalesce(t, 0) as t from range({BUCKETS})
+  left join here on here.bucket = range left join there on there.bucket = range),
+gains as (
+  select bucket, cast(floor(1000.0 * ln(cast(t + 1 as double) * cast((select sum(s) from counts) + {BUCKETS} as double)
+    / (cast(s + 1 as double) * cast((select sum(t) from counts) + {BUCKETS} as double)))) as bigint) as gain from counts),
+sums as (
+  select doc_id, count(*) as n, sum(gain) as total from used join buckets using (word) join gains using (bucket) group by doc_id),
+weighed as (
+  select d.doc_id, coalesce(n, 0) as n_features,
+    coalesce(cast((total - ((total % n) + n) % n) / n as bigint), 0) as weight from documents d left join sums using (doc_id)),
+scored as (
+  select *, weight + cast(floor(-1000.0 * ln(-ln(({_drawn(2024, 1)} + cast(0.5 as double)) / cast(4294967296 as double)))) as bigint) as score
+  from weighed),
+able as (
+  select doc_id, row_number() over (order by score desc, doc_id) as rank, count(*) over () as all_able
+  from scored where n_features >= 20)
+select doc_id, n_features, weight, score, case when rank <= 10 * all_able // 100 then rank end as rank
+from scored left join able using (doc_id)"""
+
+
+SQL: dict[str, str] = {"op1_quality_rules": _rules(), "op10_chat_format": _chat(), "op11_fill_in_middle": _infill(),
+                       "op13_resample": _resample()}

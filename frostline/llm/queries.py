@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from frostline.llm import (chat_format, fingerprints, html_extraction, language_model, license_scan, mixing,
-                           near_duplicates, packing, quality_classifier, quality_rules)
+from frostline.llm import (byte_pairs, chat_format, fingerprints, html_extraction, infilling, language_model, license_scan,
+                           mixing, near_duplicates, packing, quality_classifier, quality_rules, resampling)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -120,3 +120,29 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
                      F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"),
                      F.length("formatted").cast("long").alias("formatted_chars"))
+
+
+@query
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = infilling.fill_in_middle(descriptions(spark, sf_dir).drop("data_source"))
+    back = infilling.restored(F.col("infill"), F.col("form"))
+    return df.select(
+        F.col("event_id").alias("doc_id"), F.col("n_units").alias("n"), "form", "prefix_chars", "middle_chars",
+        F.sha2("infill", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+@query
+def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, ranks = tokenizer_files()
+    df = byte_pairs.encode_descriptions(descriptions(spark, sf_dir).drop("data_source"), ranks)
+    df = byte_pairs.decode_tokens(df.drop("description"), ranks)
+    return df.select(
+        F.col("event_id").alias("doc_id"), (F.octet_length("tokens") / 4).cast("long").alias("n_tokens"),
+        F.sha2("tokens", 256).alias("ids_sha256"), F.sha2("description", 256).alias("decoded_sha256"))
+
+
+@query
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    releases = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("text")
+    df = resampling.resample_events(descriptions(spark, sf_dir).drop("data_source"), releases)
+    return df.withColumnRenamed("event_id", "doc_id")
