@@ -17,8 +17,9 @@ from pyspark.sql import types as T
 from frostline.llm.columns import arrow_rows, given, quoted
 from frostline.llm.packing import PATTERN
 
-STATE_LIMIT, PIECE_LIMIT, PIECE_CHARS = 200_000, 400_000, 64
-BATCH_BYTES = 12 << 20
+STATE_LIMIT, PAIR_LIMIT, PIECE_LIMIT, PIECE_CHARS = 100_000, 250_000, 100_000, 64
+LOOSE, SLOTS = 64, 524_287
+BATCH_BYTES = 6 << 20
 NODE_BITS = 24
 NODE_MASK = (1 << NODE_BITS) - 1
 
@@ -102,8 +103,11 @@ class Transducer:
     it, and the node of the token trie reached by its bytes; both are numbers, in one integer. A state is the tuple of all
     hypotheses that may still become true, oldest first; those tokens on which all of them agree are put out on the way to
     it and belong to no state. A hypothesis dies when its trie path ends, so output lags by at most the longest token, and
-    the number of states is finite. States and moves are made when first needed; beyond ``STATE_LIMIT`` states the tables
-    start again, which costs time but changes nothing.
+    the number of states is finite.
+
+    States and moves are made on need: where a move is missing, the hypotheses are followed one by one for up to ``LOOSE``
+    bytes; only when it is found missing again soon is it made. So what occurs once costs no memory. Beyond
+    ``STATE_LIMIT`` states the tables start again, which costs time but changes nothing.
     """
 
     def __init__(self, ranks: dict[bytes, int]):
@@ -122,7 +126,8 @@ class Transducer:
                     self._inner.append(False)
                 node = after
             self._token[node] = rank
-        self._apart: dict[tuple[int, int], bool] = {}
+        self._apart: dict[int, bool] = {}
+        self._missed = array("q", [-1]) * SLOTS  # moves found missing of late, each in the place that its number gives
         self._start()
 
     def _start(self) -> None:
@@ -134,8 +139,6 @@ class Transducer:
         self._numbers, self._states = {first: 0}, [first]
         self._moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self._ends: list[tuple[int, ...]] = [()]
-        if len(self._apart) > 4 * STATE_LIMIT:
-            self._apart.clear()
 
     def _context(self, pending: tuple[int, ...], last: int) -> int:
         number = self._contexts.get((pending, last))
@@ -145,11 +148,13 @@ class Transducer:
             self._last.append(last)
         return number
 
-    def _fits(self, context: int, token: int) -> bool:
-        last = self._last[context]
-        fits = self._apart.get((last, token))
+    def _fits(self, last: int, token: int) -> bool:
+        pair = last << NODE_BITS | token
+        fits = self._apart.get(pair)
         if fits is None:
-            fits = self._apart[last, token] = last < 0 or self.merges.apart(last, token)
+            if len(self._apart) >= PAIR_LIMIT:
+                self._apart.clear()
+            fits = self._apart[pair] = last < 0 or self.merges.apart(last, token)
         return fits
 
     def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
@@ -161,7 +166,7 @@ class Transducer:
                 continue
             context = hypothesis >> NODE_BITS
             token = tokens[after]
-            if token >= 0 and done < 0 and self._fits(context, token):
+            if token >= 0 and done < 0 and self._fits(self._last[context], token):
                 long = context << NODE_BITS | token
                 done = self._longer.get(long, -1)
                 if done < 0:
@@ -171,6 +176,12 @@ class Transducer:
         if done < 0:
             raise ValueError("the rank table lacks a token for a single byte")
         going.append(done << NODE_BITS)
+        number, sure = self._state(going)
+        move = self._moves[state << 8 | byte] = (number, sure)
+        return move
+
+    def _state(self, going: list[int]) -> tuple[int, tuple[int, ...]]:
+        """Number of the state of these hypotheses, and the tokens that all agree on."""
         sure: tuple[int, ...] = ()
         # The oldest hypothesis often has no uncertain token; then no token is certain yet for all.
         if self._pending[going[0] >> NODE_BITS]:
@@ -188,18 +199,53 @@ class Transducer:
             number = self._numbers[key] = len(self._states)
             self._states.append(key)
             self._ends.append(self._pending[going[-1] >> NODE_BITS])
-        move = self._moves[state << 8 | byte] = (number, sure)
-        return move
+        return number, sure
+
+    def _follow(self, state: int, data: bytes) -> list[tuple[tuple[int, ...], int, int]]:
+        """The hypotheses (uncertain tokens, token before the open one, node) after these bytes, without new states."""
+        follow, tokens, inner, fits = self._next.get, self._token, self._inner, self._fits
+        open_ = [(self._pending[h >> NODE_BITS], self._last[h >> NODE_BITS], h & NODE_MASK) for h in self._states[state]]
+        for byte in data:
+            going, done = [], None
+            for pending, last, node in open_:
+                after = follow(node << 8 | byte)
+                if after is not None:
+                    token = tokens[after]
+                    if token >= 0 and done is None and fits(last, token):
+                        done = pending + (token,), token, 0
+                    if inner[after]:
+                        going.append((pending, last, after))
+            if done is None:
+                raise ValueError("the rank table lacks a token for a single byte")
+            going.append(done)
+            open_ = going
+        return open_
 
     def encode(self, data: bytes) -> list[int]:
         """Token ids of one piece."""
         if len(self._states) > STATE_LIMIT:
             self._start()
-        moves, state, out = self._moves, 0, []
-        for byte in data:
-            state, sure = moves.get(state << 8 | byte) or self._move(state, byte)
+        moves, missed, state, out = self._moves, self._missed, 0, []
+        at, end = 0, len(data)
+        while at < end:
+            key = state << 8 | data[at]
+            move = moves.get(key)
+            if move is None:
+                if missed[key % SLOTS] != key:
+                    missed[key % SLOTS] = key
+                    open_ = self._follow(state, data[at:at + LOOSE])
+                    at += LOOSE
+                    if at >= end:
+                        out += open_[-1][0]
+                        return out
+                    state, sure = self._state([self._context(pending, last) << NODE_BITS | node for pending, last, node in open_])
+                    out += sure
+                    continue
+                move = self._move(state, data[at])
+            state, sure = move
             if sure:
                 out += sure
+            at += 1
         out += self._ends[state]
         return out
 
@@ -210,7 +256,8 @@ class Encoder:
     With ``PATTERN`` a match always begins at a blank before a character that is no white space, so texts are cut there
     first, and each distinct part of a batch is matched once. With another pattern a text is one part. Cuts are found in
     the bytes: those before a character that might be white space beyond ASCII are left out, which only makes parts
-    longer. The ids of short pieces are remembered up to ``PIECE_LIMIT`` pieces, then the table starts again.
+    longer. The ids of short pieces that come again soon are remembered, in two tables of ``PIECE_LIMIT`` pieces: when the
+    newer one is full it becomes the older one, whose pieces move on when they are met.
     """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str = PATTERN):
@@ -218,18 +265,27 @@ class Encoder:
         self._begins = np.full(256, pattern == PATTERN)
         self._begins[[*range(9, 14), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3]] = False
         self._known: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
+        self._met = array("q", [0]) * SLOTS  # hashes of pieces met of late
 
     def _parts(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, bounds) of distinct parts."""
-        ids, ends, known = array("I"), array("q", [0]), self._known
+        ids, ends, known, older, met = array("I"), array("q", [0]), self._known, self._older, self._met
         split, encode = self._pieces.findall, self._transducer.encode
         for part in parts:
             for piece in split(part.decode()):
                 found = known.get(piece)
                 if found is None:
-                    found = encode(piece.encode())
-                    if len(piece) <= PIECE_CHARS:
-                        known[piece] = tuple(found)
+                    found = older.get(piece)
+                    if found is not None:
+                        known[piece] = found
+                    else:
+                        found = encode(piece.encode())
+                        number = hash(piece)
+                        if met[number % SLOTS] != number:
+                            met[number % SLOTS] = number
+                        elif len(piece) <= PIECE_CHARS:
+                            known[piece] = tuple(found)
                 ids.extend(found)
             ends.append(len(ids))
         return np.frombuffer(ids, np.uint32) if ids else np.empty(0, np.uint32), np.frombuffer(ends, np.int64)
@@ -237,7 +293,7 @@ class Encoder:
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, bounds): the ids of text ``i`` are ``ids[bounds[i]:bounds[i + 1]]``. There are no nulls in ``texts``."""
         if len(self._known) > PIECE_LIMIT:
-            self._known.clear()
+            self._known, self._older = {}, self._known
         column = texts.cast(pa.large_binary())
         edges = np.frombuffer(column.buffers()[1], np.int64, len(texts) + 1, 8 * column.offset)
         data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[:edges[-1]]
