@@ -4,16 +4,14 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frostline.llm.columns import given, quoted
+from frostline.llm.columns import arrow_rows, given
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:[a-zA-Z/!?](?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(?:[a-zA-Z/!?][^>]*)(?:>|\Z)""", re.S)
 NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -343,14 +341,9 @@ def release_texts(pages: DataFrame, html: str = "html") -> DataFrame:
     is cut or capped. A null page, an empty one, and one without main text give an empty text. A given column ``text``
     is replaced; all others stay; repeated rows are read each on its own; no row leaves its task.
     """
-    kept = [c for c in pages.columns if c.lower() != "text"]
-    df = pages.select(*[F.col(quoted(c)) for c in kept], given(html).alias("__page"))
-    schema = T.StructType([*df.schema.fields[:-1], T.StructField("text", T.StringType())])
     tree = fit_tree()
 
-    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [main_text(page, tree) for page in batch.column(len(kept)).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], pa.array(texts, pa.string())], [*kept, "text"])
+    def extract(columns: list[pa.Array]) -> pa.Array:
+        return pa.array([main_text(page, tree) for page in columns[-1].to_pylist()], pa.string())
 
-    return df.mapInArrow(extract, schema)
+    return arrow_rows(pages, {"page": given(html)}, T.StructField("text", T.StringType()), extract)

@@ -77,9 +77,9 @@ def drawn(event_id: Column, seed: int, k: int) -> Column:
 
 
 def _checked(marks: tuple[str, str, str]) -> None:
-    for a in marks:
-        for b in marks:
-            if not a or (a is not b and a in b) or any(a.endswith(b[:k]) for k in range(1, min(len(a), len(b)))):
+    for i, a in enumerate(marks):
+        for j, b in enumerate(marks):
+            if not a or (i != j and a in b) or any(a.endswith(b[:k]) for k in range(1, min(len(a), len(b)))):
                 raise ValueError(f"marks must differ, and none may begin with what another ends with: {marks}")
 
 

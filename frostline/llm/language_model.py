@@ -113,7 +113,7 @@ def encoded(events: DataFrame, words: Words, event_id: str, description: str, tr
     of held words), class_logs (of the tokens that are no symbol: the same sum, less the logarithm of their class),
     symbols (int16 bytes), rest (array of word, tokens and whether it is no symbol).
     """
-    df = events.select(F.col(quoted(event_id)).cast("long").alias("event_id"), F.coalesce(F.col(train), F.lit(False)).alias(
+    df = events.select(F.col(quoted(event_id)).cast("long").alias("event_id"), F.coalesce(F.col(quoted(train)), F.lit(False)).alias(
         "train"), given(description).alias("text"))
     shared = events.sparkSession.sparkContext.broadcast(words)
 
@@ -317,7 +317,7 @@ def language_scores(events: DataFrame, train: str, event_id: str = "event_id", d
     other words are joined. Null texts are empty and hold only the end; null in ``train`` counts as false; repeated rows
     are texts of their own; without training rows all counts are 0; other columns are left out.
     """
-    counts = cut_lineage(training_counts(events.where(F.coalesce(F.col(train), F.lit(False))), description), "lm-counts")
+    counts = cut_lineage(training_counts(events.where(F.coalesce(F.col(quoted(train)), F.lit(False))), description), "lm-counts")
     words = known_words(counts)
     texts = cut_lineage(encoded(events, words, event_id, description, train), "lm-symbols")
     n_symbols = len(words.symbols) + ENDINGS

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from frostline.llm.columns import given, quoted
+from frostline.llm.columns import ascii_lower, given, quoted
 
 K = 2
 SLACK, SHARE, LONG = 3, 0.8, 8
@@ -35,7 +35,7 @@ FURTHER = (
 
 def notice_words(text: Column) -> Column:
     """Lower-case words: runs of digits, letters a-z and characters beyond ASCII."""
-    return F.array_remove(F.split(F.lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
+    return F.array_remove(F.split(ascii_lower(text), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
 def template_grams(spark: SparkSession) -> DataFrame:

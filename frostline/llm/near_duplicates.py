@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from frostline.llm.columns import given, quoted
+from frostline.llm.columns import given, quoted, whole_row
 from frostline.llm.packing import text_chunks
 from frostline.llm.shingles import mixed, shingle_sets
 from frostline.operators.graph import components
@@ -329,16 +329,20 @@ def near_duplicates(events: DataFrame, shingle: int = SHINGLE, percent: int = PE
 
 def without_copies(events: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, event_id: str = "event_id",
                    description: str = "description") -> DataFrame:
-    """The events with one of each group, the one with the smallest id; repeated rows of it leave one."""
+    """The events with one of each group, the one with the smallest id; repeated rows of it leave one.
+
+    All columns stay, whatever their names. Rows of one id and text count as repeated though other columns differ.
+    """
     found = near_duplicates(events, shingle, percent, event_id, description)
     copies = cut_lineage(found.where("not kept").select(
         F.col("event_id").alias("copy_id"), F.col("digest").alias("copy_digest")).distinct(), "near-copies")
     again = found.where("kept and n_shingles > 0").groupBy("event_id", "digest").agg(F.count("*").alias("n")).where("n > 1")
     again = cut_lineage(again.select(F.col("event_id").alias("again_id"), F.col("digest").alias("again_digest")), "near-again")
-    key, digest = F.col(quoted(event_id)).cast("long"), F.xxhash64(given(description))
-    left = events.join(copies, key.eqNullSafe(F.col("copy_id")) & (digest == F.col("copy_digest")), "left_anti")
-    same = key.eqNullSafe(F.col("again_id")) & (digest == F.col("again_digest"))
-    if again.isEmpty():
-        return left
-    once = left.join(again, same, "left_semi").dropDuplicates([event_id, description])
-    return left.join(again, same, "left_anti").unionByName(once)
+    rows = events.select(whole_row(events), F.col(quoted(event_id)).cast("long").alias("key"),
+                         F.xxhash64(given(description)).alias("text_digest"))
+    left = rows.join(copies, F.col("key").eqNullSafe(F.col("copy_id")) & (F.col("text_digest") == F.col("copy_digest")), "left_anti")
+    if not again.isEmpty():
+        same = F.col("key").eqNullSafe(F.col("again_id")) & (F.col("text_digest") == F.col("again_digest"))
+        once = left.join(again, same, "left_semi").dropDuplicates(["key", "text_digest"])
+        left = left.join(again, same, "left_anti").unionByName(once)
+    return left.select(*[F.col(f"row.{quoted(c)}").alias(c) for c in events.columns])

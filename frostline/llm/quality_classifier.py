@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from frostline.llm.columns import given, quoted
+from frostline.llm.columns import arrow_rows, given, quoted
 from frostline.llm.packing import text_chunks
 from frostline.llm.shingles import mixed, word_hashes, word_lists
 
@@ -174,20 +174,12 @@ def score_quality(events: DataFrame, model: QualityModel, event_id: str = "event
     Whole texts are scored, each in its task; null counts as empty; an empty text has the score of its bias. A given
     column of the name is replaced, all others stay; an empty table gives an empty result.
     """
-    kept = [c for c in events.columns if c.lower() != "quality_score"]
-    df = events.select(*[F.col(quoted(c)) for c in kept], given(description).alias("__text"))
-    schema = T.StructType([*df.schema.fields[:-1], T.StructField("quality_score", T.DoubleType())])
     shared = events.sparkSession.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(columns: list[pa.Array]) -> pa.Array:
         m = shared.value
         gain, square = m.weights * m.ratios, m.ratios ** 2
-        for whole in batches:
-            for batch in text_chunks(whole, "__text", 4 << 20):
-                margins = np.array([gain[g].sum() / max(np.sqrt(square[g].sum()), 1e-12) + m.bias
-                                    for g in gram_lists(batch.column(len(kept)))])
-                p = 1 / (1 + np.exp(-np.clip(m.slope * margins + m.shift, -500, 500)))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:len(kept)], pa.array(p, pa.float64())],
-                                                 [*kept, "quality_score"])
-
-    return df.mapInArrow(score, schema)
+        margins = np.array([gain[g].sum() / max(np.sqrt(square[g].sum()), 1e-12) + m.bias for g in gram_lists(columns[-1])])
+        return pa.array(1 / (1 + np.exp(-np.clip(m.slope * margins + m.shift, -500, 500))), pa.float64())
+
+    return arrow_rows(events, {"text": given(description)}, T.StructField("quality_score", T.DoubleType()), score)
