@@ -19,7 +19,7 @@ from frostline.llm.packing import PATTERN
 
 STATE_LIMIT, PAIR_LIMIT, PIECE_LIMIT, PIECE_CHARS = 100_000, 250_000, 100_000, 64
 LOOSE, SLOTS = 64, 524_287
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 3 << 20
 NODE_BITS = 24
 NODE_MASK = (1 << NODE_BITS) - 1
 
@@ -412,22 +412,35 @@ def _decoder(path: str) -> Decoder:
     return Decoder(read_ranks(path))
 
 
-def encode_descriptions(events: DataFrame, ranks_path: str, description: str = "description",
-                        tokens: str = "tokens", pattern: str = PATTERN) -> DataFrame:
+def encode_descriptions(events: DataFrame, ranks_path: str, description: str = "description", tokens: str = "tokens",
+                        pattern: str = PATTERN, decoded: str | None = None) -> DataFrame:
     """Add the token ids of every traffic event's description, as little-endian unsigned 32-bit numbers in one binary.
 
     ``ranks_path`` names a rank file that every executor has; its tokens must be those of a merge order with all single
     bytes, and the pattern must cover every text. Whole texts are encoded, each match of the pattern by itself: in an
-    encoding, merges go by rank, lowest first, then leftmost. Null and empty descriptions have no tokens (an empty
-    binary). A given column of the result's name is replaced; all other columns stay, whatever their names and values;
-    repeated rows are each encoded; an empty table gives an empty result. No row leaves its task.
+    encoding, merges go by rank, lowest first, then leftmost. With ``decoded``, a column of that name holds the text that
+    the streaming decoder makes of the ids in the same pass, as ``decode_tokens`` would. Null and empty descriptions have
+    no tokens (an empty binary). Given columns of the results' names are replaced; all other columns stay, whatever their
+    names and values; repeated rows are each encoded; an empty table gives an empty result. No row leaves its task.
     """
-    def encode(columns: list[pa.Array]) -> pa.Array:
+    def encode(columns: list[pa.Array]) -> list[pa.Array]:
         ids, bounds = _encoder(ranks_path, pattern).ids(columns[-1])
         ids = ids.astype("<u4", copy=False)
-        return pa.array([ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())
+        found = pa.array([ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())], pa.binary())
+        return [found] if decoded is None else [found, _texts(found, _decoder(ranks_path))]
 
-    return arrow_rows(events, {"text": given(description)}, T.StructField(tokens, T.BinaryType()), encode, BATCH_BYTES)
+    results = [T.StructField(tokens, T.BinaryType())] + ([T.StructField(decoded, T.StringType())] if decoded else [])
+    return arrow_rows(events, {"text": given(description)}, results, encode, BATCH_BYTES)
+
+
+def _texts(tokens: pa.Array, decoder: Decoder, portion: int = 4096) -> pa.Array:
+    """Text of each list of ids, decoded as a stream in portions of ids."""
+    out = []
+    for data in tokens:
+        ids = np.frombuffer(data.as_buffer(), "<u4", len(data.as_buffer()) // 4)
+        parts = [decoder.feed(ids[k:k + portion].tolist()) for k in range(0, len(ids), portion)]
+        out.append(b"".join([*parts, decoder.close()]))
+    return pa.array(out, pa.binary()).cast(pa.string())
 
 
 def decode_tokens(encoded: DataFrame, ranks_path: str, tokens: str = "tokens", description: str = "description",
@@ -437,14 +450,6 @@ def decode_tokens(encoded: DataFrame, ranks_path: str, tokens: str = "tokens", d
     Null and empty tokens give an empty text; bytes that are no UTF-8 and unknown ids give replacement characters, and
     bytes after the last whole number are ignored. A given column of the result's name is replaced; all others stay.
     """
-    def decode(columns: list[pa.Array]) -> pa.Array:
-        decoder, out = _decoder(ranks_path), []
-        for data in columns[-1].to_pylist():
-            ids = np.frombuffer(data, "<u4", len(data) // 4)
-            parts = [decoder.feed(ids[k:k + portion].tolist()) for k in range(0, len(ids), portion)]
-            out.append(b"".join([*parts, decoder.close()]))
-        return pa.array(out, pa.binary()).cast(pa.string())
-
     data = F.coalesce(F.col(quoted(tokens)), F.lit(b""))
-    return arrow_rows(encoded, {"data": data}, T.StructField(description, T.StringType()), decode)
-
+    return arrow_rows(encoded, {"data": data}, T.StructField(description, T.StringType()),
+                      lambda columns: _texts(columns[-1], _decoder(ranks_path), portion), BATCH_BYTES)

@@ -134,11 +134,10 @@ def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, ranks = tokenizer_files()
-    df = byte_pairs.encode_descriptions(descriptions(spark, sf_dir).drop("data_source"), ranks)
-    df = byte_pairs.decode_tokens(df.drop("description"), ranks)
+    df = byte_pairs.encode_descriptions(descriptions(spark, sf_dir).drop("data_source"), ranks, decoded="decoded")
     return df.select(
         F.col("event_id").alias("doc_id"), (F.octet_length("tokens") / 4).cast("long").alias("n_tokens"),
-        F.sha2("tokens", 256).alias("ids_sha256"), F.sha2("description", 256).alias("decoded_sha256"))
+        F.sha2("tokens", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query

@@ -155,6 +155,8 @@ def test_descriptions_and_back(spark, library):
         assert bytes(got[event_id, text]) == np.array(library.encode_ordinary(text or ""), "<u4").tobytes()
     back = bp.decode_tokens(encoded.withColumnRenamed("description", "given.text"), RANKS_PATH, portion=7)
     assert back.where(~F.col("description").eqNullSafe(F.coalesce("`given.text`", F.lit("")))).count() == 0
+    both = bp.encode_descriptions(df, RANKS_PATH, decoded="again")
+    assert both.where(~F.col("again").eqNullSafe(F.coalesce("description", F.lit("")))).count() == 0
     assert back.count() == len(rows) and bp.encode_descriptions(df.where("false"), RANKS_PATH).count() == 0
 
 
