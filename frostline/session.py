@@ -83,3 +83,8 @@ class RoundTables:
         while len(self._paths) > self._keep:
             remove_path(self._spark, self._paths.pop(0))
         return table
+
+    def clear(self) -> None:
+        """Remove all rounds, once nothing reads them."""
+        while self._paths:
+            remove_path(self._spark, self._paths.pop())
