@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from frostline.plans.boosting import Forest, Split
+
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
@@ -243,3 +245,15 @@ def with_clause(sql: str, extra: dict[str, str]) -> str:
             head = f"{n}{keyed.group(1)}"
         heads.append(f"{head} as (\n{body}\n)")
     return "with recursive " + ",\n".join(heads) + "\n" + sql.strip()
+
+
+#: A small forest over the features of a scenario day: the parameter of ``forest_scores``.
+FOREST = Forest(
+    ("total_snowfall_cm", "winter_crash_count", "elevation_m", "min_temp_c", "snow_x_steep_slope", "roadwidth", "day_offset",
+     "thaw_x_steep_slope", "domi_class_enc", "snow_complaint_count"),
+    0.0625,
+    (Split(0, 12.0, Split(1, 0.5, 0.015625, 0.046875), Split(1, 1.5, 0.09375, 0.1875)),
+     Split(4, 2.5, Split(2, 290.0, -0.015625, 0.03125), Split(3, -8.0, 0.125, 0.0625)),
+     Split(6, 1.5, Split(0, 30.0, Split(5, 28.0, 0.03125, 0.0078125), 0.078125), Split(7, 20.0, -0.03125, 0.015625)),
+     Split(8, 2.5, Split(9, 3.5, -0.0078125, 0.0234375), Split(9, 8.5, 0.01171875, 0.0546875)),
+     0.00390625))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 
-from checks.fixtures import FIXTURES, with_clause
+from checks.fixtures import FIXTURES, FOREST, with_clause
+from frostline.plans.boosting import forest_sql
 from frostline.plans.training import FEATURES, STATIC
 
 K_LAT = "1.1132e5"
@@ -257,6 +258,17 @@ select scenario_id, day_offset, objectid, risk_score, {category('risk_score')} a
     round(greatest(0, least(1, pow(1 / (1 + exp(-((prediction - p75) / greatest(p99 - p75, 1e-6) * 3))), greatest(3e-1, least(5, 1 / greatest(v.severity, 1e-1)))))), 6) as risk_score
   from fx_raw_scores r join (select scenario_id, day_offset, quantile_cont(prediction, 7.5e-1) as p75, quantile_cont(prediction, 9.9e-1) as p99
     from fx_raw_scores group by all) q using (scenario_id, day_offset) join ora_severity v using (scenario_id, day_offset)) s""",
+    "ora_forest_raw": f"""
+select scenario_id, day_offset, objectid, {forest_sql(FOREST)} as prediction from (
+  select s.objectid, s.winter_crash_count, s.elevation_m, s.roadwidth, s.domi_class_enc, s.snow_complaint_count, d.scenario_id, d.day_offset,
+    d.total_snowfall_cm, d.min_temp_c, d.total_snowfall_cm * s.near_steep_slope as snow_x_steep_slope,
+    d.cumulative_thaw_degree_hours * s.near_steep_slope as thaw_x_steep_slope from ora_static s cross join ora_scenario_days d) x""",
+    "ora_forest_scores": f"""
+select scenario_id, day_offset, objectid, risk_score, {category('risk_score')} as risk_category from (
+  select r.scenario_id, r.day_offset, r.objectid,
+    round(greatest(0, least(1, pow(1 / (1 + exp(-((prediction - p75) / greatest(p99 - p75, 1e-6) * 3))), greatest(3e-1, least(5, 1 / greatest(v.severity, 1e-1)))))), 6) as risk_score
+  from ora_forest_raw r join (select scenario_id, day_offset, quantile_cont(prediction, 7.5e-1) as p75, quantile_cont(prediction, 9.9e-1) as p99
+    from ora_forest_raw group by all) q using (scenario_id, day_offset) join ora_severity v using (scenario_id, day_offset)) s""",
     # metrics
     "ora_ranked": """
 select storm_id, objectid, risk_score as y, prediction as p, count(*) over (partition by storm_id) as n,
@@ -412,6 +424,22 @@ from fx_closures c join fx_segments s on {d2('c.latitude', 'c.longitude', 's.mid
     "static_features": "select objectid, " + ", ".join(f"round(cast({c} as float)::double, 3) as {c}" for c in STATIC) + " from ora_static",
     "training_matrix_profile": "select season, count(*) as rows, count(distinct storm_id) as storms, " + ", ".join(
         f"round(avg(cast({c} as {'double' if c == 'risk_score' else 'float'})::double), 3) as {c}" for c in FEATURES + ["risk_score"]) + " from ora_matrix group by season",
+    "training_matrix_rows": "select storm_id, objectid, cast(day_offset as bigint) as day_offset, season, md5(concat_ws(',', " + ", ".join(
+        f"coalesce(cast(cast(floor(cast(cast({c} as float) as double) * 1e3 + 2.718e-1) as bigint) as varchar), '')" for c in FEATURES) + ")) as features from ora_matrix",
+    "forest_scores": "select * from ora_forest_scores",
+    "crash_files": "select crash_crn, crash_year, crash_month, fatal_count, icy_road, snow_slush_road, latitude, longitude, 'none' as street_name from fx_crashes",
+    "missing_file": "select crash_crn, true as bare from fx_crashes",
+    "written_once": "select crash_crn, crash_year from fx_crashes where crash_year < 1996",
+    "sample_file": "select crash_crn, crash_year from fx_crashes order by crash_crn limit 1000",
+    "ranked_file": "select day_offset, objectid, risk_score, risk_category, cast(0 as bigint) as parts_out_of_order from ora_predictions",
+    "timed_closures": """select closure_id, strftime(from_date, '%Y-%m-%d') as from_date,
+  strftime(case when closure_id % 5 = 0 then from_date else coalesce(to_date, from_date) end, '%Y-%m-%d') as to_date from fx_closures where closure_id % 11 <> 0""",
+    "aligned_features": "select objectid, cast(cast(mid_lng as float) as double) as mid_lng, 0e0 as slope_pct, cast(cast(mid_lat as float) as double) as mid_lat from fx_segments",
+    "present_columns": """select crash_crn, round(latitude, 6) as latitude, round(longitude, 6) as longitude, null::bigint as closure_id from fx_crashes
+union all select null, round(latitude, 6), round(longitude, 6), closure_id from fx_closures""",
+    "release_days": "select closure_id, case when closure_id % 7 = 0 then '' else strftime(from_date, '%Y-%m-%d') end as day from fx_closures",
+    "point_texts": """select closure_id, round(latitude, 4) as latitude, round(longitude, 4) as longitude, round(latitude, 4) as point_lat, round(longitude, 4) as point_lng from fx_closures""",
+    "route_features": "select box_id, day_offset, objectid, score, label from ora_conditions where objectid in (select objectid from fx_lines where domi_class = 'Collector')",
     "season_statistics": "select season, round(avg(risk_score), 6) as mean, round(stddev_samp(risk_score), 6) as std, count(*) as n, count(distinct storm_id) as storms from fx_scored join fx_seasons using (storm_id) group by season",
     "season_split": """select storm_id, season, case when t then 'test' when rn <= greatest(1, floor(n * 1e-1)) then 'val' else 'train' end as split from (
   select *, row_number() over (partition by t order by md5('42-' || storm_id), storm_id) as rn, count(*) over (partition by t) as n

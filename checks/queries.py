@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from checks.fixtures import projection
+from checks.fixtures import FOREST, projection
 from frostline.functions import geo, risk, weather
-from frostline.functions.encode import name_key, number
+from frostline.functions.encode import day_of_millis, name_key, number
 from frostline.operators import cleaning, graph, labels, ordered, ranking, spatial, storms
 from frostline.plans import enrich, model, scenario, serve, training
 from frostline.session import cut_lineage, new_path
@@ -296,12 +296,16 @@ def group_sizes(spark, sf):
     return ranking.group_sizes(Inputs(spark, sf).scored)
 
 
+#: Rounds of the two training queries, of at most 600 and 500; all else is as in production. README gives the times.
+MODEL_ROUNDS = 20
+
+
 @query
 def gbt_scores(spark, sf):
     """Train on the sampled matrix, score each scenario day on every segment."""
     i = Inputs(spark, sf)
     matrix = cut_lineage(i.matrix(), "matrix")
-    fitted = model.train_ranker(matrix)
+    fitted = model.train_ranker(matrix, rounds=MODEL_ROUNDS)
     good, _ = cleaning.check_scenarios(i.scenarios)
     static = matrix.select("objectid", *training.STATIC).dropDuplicates(["objectid"])
     return scenario.predict(fitted, static, scenario.fill_scenarios(good)).select(
@@ -311,7 +315,16 @@ def gbt_scores(spark, sf):
 @query
 def feature_importance(spark, sf):
     matrix = cut_lineage(Inputs(spark, sf).matrix(), "matrix")
-    return model.top_features(model.train_regression(matrix))
+    return model.top_features(model.train_regression(matrix, rounds=MODEL_ROUNDS))
+
+
+@query
+def forest_scores(spark, sf):
+    """Calibrated scores of a given forest, which the SQL twin evaluates as an expression."""
+    i = Inputs(spark, sf)
+    good, _ = cleaning.check_scenarios(i.scenarios)
+    return scenario.predict(FOREST, cut_lineage(i.static(), "static"), scenario.fill_scenarios(good)).select(
+        "scenario_id", "day_offset", "objectid", "risk_score", "risk_category")
 
 
 @query
@@ -322,6 +335,130 @@ def importance_share(spark, sf):
         "feature", "importance", "importance_pct")
 
 
+@query
+def training_matrix_rows(spark, sf):
+    """Rows of the matrix after its stored form: a digest of each row's features in thousandths, in matrix order.
+
+    They are cut where no value of four decimals lies, so that the last bits of a sum cannot decide.
+    """
+    path = new_path(spark, "matrix")
+    files.write_matrix(Inputs(spark, sf).matrix(), path)
+    df = files.read_columns(spark, path, ["storm_id", "objectid", *training.FEATURES, "season"])
+    values = [F.coalesce(F.floor(F.col(c).cast("double") * 1000 + 0.2718).cast("bigint").cast("string"), F.lit("")) for c in training.FEATURES]
+    return df.select("storm_id", "objectid", F.col("day_offset").cast("bigint").alias("day_offset"), "season",
+                     F.md5(F.concat_ws(",", *values)).alias("features"))
+
+
+# Table files
+
+CRASH_FIELDS = ["crash_crn", "crash_year", "crash_month", "fatal_count", "icy_road", "snow_slush_road", "latitude", "longitude"]
+CRASH_SCHEMA = ("crash_crn bigint, crash_year bigint, crash_month bigint, fatal_count int, icy_road string, snow_slush_road string, "
+                "latitude double, longitude double, street_name string")
+
+
+@query
+def crash_files(spark, sf):
+    """Crashes written with a header and read back by name: a missing file gives way to the next, an absent column is null."""
+    path = new_path(spark, "crashes")
+    files.write_csv(Inputs(spark, sf).crashes, path, list(reversed(CRASH_FIELDS)))
+    return files.read_first(spark, [new_path(spark, "missing"), path], CRASH_SCHEMA).withColumn(
+        "street_name", F.coalesce("street_name", F.lit("none")))
+
+
+@query
+def missing_file(spark, sf):
+    """Crashes beside an optional file that is not there: each keeps its row, without a value."""
+    optional = files.read_csv(spark, new_path(spark, "missing"), "crash_crn bigint, note string")
+    return Inputs(spark, sf).crashes.select("crash_crn").join(optional, "crash_crn", "left").select(
+        "crash_crn", F.col("note").isNull().alias("bare"))
+
+
+@query
+def written_once(spark, sf):
+    """The second write to a path changes nothing."""
+    path, crashes = new_path(spark, "once"), Inputs(spark, sf).crashes.select("crash_crn", F.col("crash_year").cast("bigint"))
+    files.write_once(crashes.where("crash_year < 1996"), path)
+    files.write_once(crashes, path)
+    return files.read_columns(spark, path)
+
+
+@query
+def sample_file(spark, sf):
+    """The first 1000 crashes by number, through a CSV file."""
+    path = new_path(spark, "sample")
+    files.write_sample(Inputs(spark, sf).crashes.select("crash_crn", "crash_year"), path, ["crash_crn"])
+    return files.read_csv(spark, path, "crash_crn bigint, crash_year bigint")
+
+
+@query
+def ranked_file(spark, sf):
+    """Predictions through a CSV of falling risk, and how many of its part files hold a lower score than a later one."""
+    path = new_path(spark, "ranked")
+    files.write_ranked(Inputs(spark, sf).scored_predictions, path)
+    written = spark.read.schema("day_offset bigint, objectid bigint, risk_score double, risk_category string").option(
+        "header", True).csv(path)
+    bounds = written.groupBy(F.input_file_name().alias("part")).agg(F.min("risk_score").alias("low"), F.max("risk_score").alias("high"))
+    # One row a part file: parts follow each other by name.
+    beyond = Window.orderBy("part").rowsBetween(1, Window.unboundedFollowing)
+    wrong = bounds.withColumn("next", F.max("high").over(beyond)).where(F.col("next") > F.col("low")).count()
+    return written.withColumn("parts_out_of_order", F.lit(wrong).cast("bigint"))
+
+
+# Feeds and features
+
+@query
+def timed_closures(spark, sf):
+    """Closures whose times are text: rows without a start are dropped, a missing or unreadable end is the start."""
+    text = Inputs(spark, sf).closures.select(
+        "closure_id", F.when(F.col("closure_id") % 11 == 0, "soon").otherwise(F.col("from_date").cast("string")).alias("from_date"),
+        F.when(F.col("closure_id") % 5 == 0, "").otherwise(F.col("to_date").cast("string")).alias("to_date"))
+    df = cleaning.timed(text, "from_date", "to_date")
+    return df.select("closure_id", *[F.date_format(c, "yyyy-MM-dd").alias(c) for c in ("from_date", "to_date")])
+
+
+@query
+def aligned_features(spark, sf):
+    """Segments with the columns a model asks for, in its order: those that a feed lacks are 0, doubles become floats."""
+    segments = Inputs(spark, sf).segments.select("objectid", "mid_lat", "mid_lng")
+    df = cleaning.to_float(cleaning.align(segments, ["objectid", "mid_lng", "slope_pct", "mid_lat"]))
+    return df.select("objectid", *[F.col(c).cast("double").alias(c) for c in ("mid_lng", "slope_pct", "mid_lat")])
+
+
+@query
+def present_columns(spark, sf):
+    """The wanted columns that crashes and closures have."""
+    i, wanted = Inputs(spark, sf), ["closure_id", "crash_crn", "latitude", "longitude", "neighborhood"]
+    found = [cleaning.present_columns(df, wanted) for df in (i.crashes, i.closures)]
+    return cleaning.union_feeds(*[_rounded(df, "latitude", "longitude") for df in found])
+
+
+@query
+def release_days(spark, sf):
+    """Day of each closure's start from its epoch milliseconds; none for every seventh."""
+    millis = F.when(F.col("closure_id") % 7 == 0, "").otherwise(F.unix_millis(F.col("from_date").cast("timestamp")).cast("string"))
+    return Inputs(spark, sf).closures.select("closure_id", day_of_millis(millis).alias("day"))
+
+
+@query
+def point_texts(spark, sf):
+    """Coordinates from location texts where a closure has none."""
+    text = F.format_string("POINT (%.4f %.4f)", "longitude", "latitude")
+    bare = F.col("closure_id") % 3 == 0
+    df = Inputs(spark, sf).closures.select(
+        "closure_id", text.alias("geometry"), *[F.when(~bare, F.col(c)).alias(c) for c in ("latitude", "longitude")])
+    df = texts.with_location(df).withColumn("point", texts.wkt_point(F.col("geometry")))
+    return df.select("closure_id", *[F.round(c, 4).alias(c) for c in ("latitude", "longitude")],
+                     F.col("point.lat").alias("point_lat"), F.col("point.lng").alias("point_lng"))
+
+
+@query
+def route_features(spark, sf):
+    """Conditions in the boxes, on the segments of any route only."""
+    i = Inputs(spark, sf)
+    shown = serve.conditions(i.lines_geo, i.scored_predictions, i.boxes)
+    return serve.only_route(shown, i.lines.where("domi_class = 'Collector'")).select("box_id", "day_offset", "objectid", "score", "label")
+
+
 # Scenarios and forecasts
 
 @query

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from frostline.functions import geo, risk
+from frostline.operators.lookup import lookup
 from frostline.operators.ordered import running_totals
 from frostline.operators.spatial import near_twins, nearest_join
 from frostline.session import RoundTables, cut_lineage, new_path
@@ -85,24 +86,22 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> Dat
 
     Alternates large-star and small-star rounds (Kiveris et al., 2014): every node is tied to the lowest node around
     it until each component is one star. The number of rounds grows with the logarithm of the graph, not with its
-    diameter.
+    diameter. Links run from the higher node to the lower. A node without a lower neighbour is its own minimum and has no
+    row to be looked up, and nodes with a large part of all links are looked up apart, so no task gets the links of one.
     """
-    spark = nodes.sparkSession
-    rounds = RoundTables(spark, "components")
+    rounds = RoundTables(nodes.sparkSession, "components", keep=4)
     high, low = F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")
     star = rounds.store(edges.where(F.col("src") != F.col("dst")).select(high, low).distinct())
     for _ in range(max_rounds):
-        both = star.unionByName(star.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low_of = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(low_of, "u").where(F.col("v") != F.col("m")).select(
-            F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low_of = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low_of, "u").where(F.col("v") != F.col("m")).select(
-            F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low_of.select("u", F.col("m").alias("v")))
-        star = rounds.store(small.distinct())
+        # Large star: whatever hangs on a node moves to the lowest node around that node.
+        lowest = rounds.store(_lowest(star)).withColumnRenamed("u", "v")
+        large = rounds.store(lookup(star, lowest, ["v"]).select("u", F.coalesce("m", "v").alias("v")).distinct())
+        # Small star: a node and all nodes below it move to the lowest of them.
+        lowest = rounds.store(_lowest(large))
+        small = lookup(large, lowest, ["u"]).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        star = rounds.store(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
         two_parents = star.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
-        parent_not_root = star.join(star.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
-        if two_parents.isEmpty() and parent_not_root.isEmpty():
+        if two_parents.isEmpty() and _parent_not_root(star).isEmpty():
             break
     else:
         raise RuntimeError("components did not settle")
@@ -110,6 +109,17 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> Dat
         "node", F.coalesce("v", "node").alias("component"))
 
 
+def _lowest(links: DataFrame) -> DataFrame:
+    """(u, m): the lowest node that each higher node is linked to."""
+    return links.groupBy("u").agg(F.min("v").alias("m"))
+
+
+def _parent_not_root(star: DataFrame) -> DataFrame:
+    """Nodes that are linked to and have a link of their own; each node is reduced to one row before it is joined."""
+    parents = star.select(F.col("v").alias("u")).distinct()
+    return parents.join(star.select("u").distinct(), "u")
+
+
 def component_sizes(parts: DataFrame) -> DataFrame:
     return parts.groupBy("component").agg(F.count("*").alias("nodes"))
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from frostline.operators.lookup import lookup
 from frostline.session import cut_lineage
 
 
@@ -96,10 +97,14 @@ def average_ranks(df: DataFrame, keys: list[str], col: str, count: str) -> DataF
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str, name: str = "spearman") -> DataFrame:
-    """Rank correlation per key, null where a side has no spread."""
+    """Rank correlation per key, null where a side has no spread.
+
+    Ranks go back to the cells by value. A value that many cells share, such as a score of 0, is looked up apart, so its
+    cells do not meet in one task.
+    """
     cells = cut_lineage(df.groupBy(*keys, x, y).agg(F.count("*").alias("_c")), "ranks")
-    ranked = cells.join(average_ranks(cells, keys, x, "_c"), [*keys, x]).join(
-        average_ranks(cells, keys, y, "_c"), [*keys, y])
+    ranked = lookup(cells, average_ranks(cells, keys, x, "_c"), [*keys, x], "inner")
+    ranked = lookup(cut_lineage(ranked, "ranks"), average_ranks(cells, keys, y, "_c"), [*keys, y], "inner")
     rx, ry, c = F.col(f"{x}_rank"), F.col(f"{y}_rank"), F.col("_c")
     sums = ranked.groupBy(*keys).agg(
         F.sum(c * rx * ry).alias("_xy"), F.sum(c * rx * rx).alias("_xx"), F.sum(c * ry * ry).alias("_yy"))

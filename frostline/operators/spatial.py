@@ -61,13 +61,14 @@ def _nine_cells(df: DataFrame, lat: str, lng: str, radius_m: float, metric: str)
     return df.drop("_dx", "_dy")
 
 
-def _divide_crowded(points: DataFrame, places: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+def _divide_crowded(points: DataFrame, places: DataFrame, limit: int,
+                    cell: tuple[str, ...] = ("_cx", "_cy")) -> tuple[DataFrame, DataFrame]:
     """Divide the cells whose pair count exceeds ``limit``; other cells keep the single salt 0.
 
     The larger side of a cell is cut into parts and the smaller one copied to each of them; where the smaller side is
     large too, it is cut as well. So every task gets at most about ``limit`` pairs, and few rows are copied.
     """
-    cell = ["_cx", "_cy"]
+    cell = list(cell)
     a, b = F.col("_a"), F.col("_b")
     few, many = F.least(a, b), F.greatest(a, b)
     few_parts = F.ceil(few / F.lit(float(limit) ** 0.5))
@@ -232,26 +233,51 @@ def near_twins(nodes: DataFrame, radius_m: float, node_id: str, at=("lat", "lng"
     return near.where(F.col("a") < F.col("b"))
 
 
-def bbox_overlap(lines: DataFrame, boxes: DataFrame, cell_degrees: float = geo.GRID_DEGREES * 8) -> DataFrame:
-    """Lines whose bounding box meets a query box, one row per (box_id, line).
+# Levels of the box grids: cells of level 0 are the given ones, those of each further level twice as wide.
+BOX_LEVELS = 16
 
-    Both sides carry ``min_lng, min_lat, max_lng, max_lat`` (boxes prefixed ``box_``) and are laid on the same
-    grid; a pair that shares several cells is kept only in its lowest shared one, so no distinct is needed.
-    """
 
-    def span(low: Column, high: Column) -> Column:
-        return F.explode(F.sequence(geo.grid_cell(low, cell_degrees), geo.grid_cell(high, cell_degrees)))
+def bbox_overlap(lines: DataFrame, boxes: DataFrame, cell_degrees: float = geo.GRID_DEGREES * 8,
+                 pairs_per_task: int | None = None) -> DataFrame:
+    """Lines whose bounding box meets a query box, one row per (box_id, line).
 
-    laid_lines = lines.withColumn("_cx", span(F.col("min_lng"), F.col("max_lng"))).withColumn(
-        "_cy", span(F.col("min_lat"), F.col("max_lat")))
-    laid_boxes = boxes.withColumn("_cx", span(F.col("box_min_lng"), F.col("box_max_lng"))).withColumn(
-        "_cy", span(F.col("box_min_lat"), F.col("box_max_lat")))
-    low_x = geo.grid_cell(F.greatest("min_lng", "box_min_lng"), cell_degrees)
-    low_y = geo.grid_cell(F.greatest("min_lat", "box_min_lat"), cell_degrees)
+    Both sides carry ``min_lng, min_lat, max_lng, max_lat`` (boxes prefixed ``box_``). A box lies on the level of a
+    hierarchy of grids whose cells are at least as wide and as high as it is, so it touches at most four of them, however
+    large it is; only a box wider than a cell of the last level touches more. Each pair of levels that occur on the two
+    sides is one equi-join on the cells of the coarser level. A pair that shares several cells is kept in its lowest
+    shared one, so no distinct is needed. Crowded cells are divided as in the other cell joins.
+    """
+    def level(low_x: str, high_x: str, low_y: str, high_y: str) -> Column:
+        extent = F.greatest(F.col(high_x) - F.col(low_x), F.col(high_y) - F.col(low_y), F.lit(0.0))
+        cells = F.greatest(extent / F.lit(cell_degrees), F.lit(1.0))
+        # The ceiling of the logarithm, with room for its last bit.
+        return F.least(F.ceil(F.log2(cells) + F.lit(1e-12)), F.lit(BOX_LEVELS - 1)).cast("int")
+
+    def cell(value: Column, at: Column) -> Column:
+        return F.floor(value / (F.lit(cell_degrees) * F.pow(F.lit(2.0), at))).cast("bigint")
+
+    def laid(df: DataFrame, at: Column, prefix: str = "") -> DataFrame:
+        def span(axis: str) -> Column:
+            return F.explode(F.sequence(cell(F.col(f"{prefix}min_{axis}"), at), cell(F.col(f"{prefix}max_{axis}"), at)))
+
+        return df.withColumn("_level", at).withColumn("_cx", span("lng")).withColumn("_cy", span("lat"))
+
+    sides = lines.withColumn("_own", level("min_lng", "max_lng", "min_lat", "max_lat")), boxes.withColumn(
+        "_own", level("box_min_lng", "box_max_lng", "box_min_lat", "box_max_lat"))
+    # At most BOX_LEVELS numbers a side.
+    used = [sorted(r["_own"] for r in side.select("_own").distinct().collect()) for side in sides]
+    # A line lies on its own level for the boxes that are no larger, and on the larger boxes' levels for those.
+    line_levels, box_levels = ([F.array("_own", *[F.when(F.col("_own") < v, v) for v in levels]) for levels in (used[1], used[0])])
+    left = laid(sides[0].withColumn("_on", F.explode(F.array_compact(line_levels))), F.col("_on")).withColumnRenamed("_own", "_line_level").drop("_on")
+    right = laid(sides[1].withColumn("_on", F.explode(F.array_compact(box_levels))), F.col("_on"), "box_").withColumnRenamed("_own", "_box_level").drop("_on")
+    left, right = _divide_crowded(left, right, pairs_per_task or PAIRS_PER_TASK, ("_level", "_cx", "_cy"))
+    low_x = cell(F.greatest("min_lng", "box_min_lng"), F.col("_level"))
+    low_y = cell(F.greatest("min_lat", "box_min_lat"), F.col("_level"))
     return (
-        laid_lines.join(laid_boxes, ["_cx", "_cy"])
+        left.join(right, ["_level", "_cx", "_cy", "_salt"])
+        .where(F.col("_level") == F.greatest("_line_level", "_box_level"))
         .where((F.col("max_lng") >= F.col("box_min_lng")) & (F.col("min_lng") <= F.col("box_max_lng"))
                & (F.col("max_lat") >= F.col("box_min_lat")) & (F.col("min_lat") <= F.col("box_max_lat")))
         .where((F.col("_cx") == low_x) & (F.col("_cy") == low_y))
-        .drop("_cx", "_cy")
+        .drop("_level", "_cx", "_cy", "_salt", "_line_level", "_box_level")
     )
