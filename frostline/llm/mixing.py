@@ -12,6 +12,8 @@ BLOCKS = 4096
 PARTS, ROUNDS = 32, 5
 # Passes of the most repeated source to one of the least: up to about four, repeated text serves almost like new text.
 MAX_REPEATS = 4.0
+# How far the mixture goes from the entropy of the given shares (0) to that of equal ones (1).
+EVENNESS = 0.5
 
 
 def source_tokens(events: DataFrame, source: str = "data_source", description: str = "description") -> DataFrame:
@@ -65,6 +67,12 @@ def temperature(totals: DataFrame, max_repeats: float | None = None, target_entr
     return low if side > 0 else high
 
 
+def between(totals: DataFrame, evenness: float) -> float | None:
+    """The entropy at this part of the way from the given shares to equal ones; none for a table without tokens."""
+    found = {r["exponent"]: r["entropy"] for r in _mix_at(totals, [0.0, 1.0]).collect()}
+    return found[1.0] + evenness * (found[0.0] - found[1.0]) if found else None
+
+
 def mixing_plan(events: DataFrame, exponent: float, budget_tokens: int | None = None, source: str = "data_source",
                 description: str = "description") -> DataFrame:
     """(source, tokens, share, weight, repeats): how often each source is passed within the budget.
@@ -104,17 +112,19 @@ def _fitting(blocks: Column, left: Column) -> Column:
 
 
 def mix_sources(events: DataFrame, max_repeats: float | None = MAX_REPEATS, target_entropy: float | None = None,
-                budget_tokens: int | None = None, event_id: str = "event_id", source: str = "data_source",
+                evenness: float | None = None, budget_tokens: int | None = None, event_id: str = "event_id", source: str = "data_source",
                 description: str = "description", seed: int = 0) -> DataFrame:
     """Repeat events so that the words of each data source follow tempered weights.
 
-    Source shares are raised to the exponent of ``temperature`` and normalised. Rows are dealt to ``BLOCKS`` blocks a
+    Source shares are raised to the exponent of ``temperature`` and normalised. ``evenness`` sets a
+    target entropy at this part of the way from the entropy of the given shares to that of equal ones, so that the
+    exponent follows the skew at hand; the limit on repeats wins over it. Rows are dealt to ``BLOCKS`` blocks a
     source by a hash of the id and text. A source is passed in epochs, each with its own permutation of the blocks:
     whole epochs first, then each block of the last permutation that fits into what is left of the source's budget; one
     that does not is skipped. So a source misses its budget by less than any block left out, and rows of a block stay
     together. Adds
-    ``mix``: struct of epoch, block, weight and position, a number in (0, 1] by which sorting interleaves the sources in
-    proportion; a given column of that name is replaced. Null sources form a source; null texts have no words and follow
+    ``mix``: struct of epoch, block, weight, position, a number in (0, 1] by which sorting interleaves the sources in
+    proportion, and the exponent with the entropy (bits) and repeats that its weights reach; a given column of that name is replaced. Null sources form a source; null texts have no words and follow
     their block. Repeated rows share a block and each is passed as often. An empty table gives an empty result.
 
     Only the id, source and word count reach the totals; a (source, block) table is joined back to the rows, spread over
@@ -128,7 +138,11 @@ def mix_sources(events: DataFrame, max_repeats: float | None = MAX_REPEATS, targ
         F.size(words(text)).cast("long").alias("tokens"))
     blocks = cut_lineage(df.groupBy("source", "block").agg(F.sum("tokens").alias("tokens")), "mix-blocks")
     totals = blocks.groupBy("source").agg(F.sum("tokens").alias("tokens"))
-    plan = _plan(totals, temperature(totals, max_repeats, target_entropy), budget_tokens)
+    if target_entropy is None and evenness is not None:
+        target_entropy = between(totals, evenness)
+    exponent = temperature(totals, max_repeats, target_entropy)
+    reached = _mix_at(totals, [exponent]).head()
+    plan = _plan(totals, exponent, budget_tokens)
     plan = plan.select(F.col("source").alias("of"), F.col("tokens").alias("all_tokens"), "weight", "repeats",
                        F.floor(F.col("repeats") + 1e-9).cast("int").alias("whole"))
     dealt = blocks.join(plan, F.col("source").eqNullSafe(F.col("of")))
@@ -145,5 +159,7 @@ def mix_sources(events: DataFrame, max_repeats: float | None = MAX_REPEATS, targ
     at = F.pmod(_rank_of("block", "epoch", F.lit(seed)), F.lit(2 ** 31)) / F.lit(float(2 ** 31))
     df = df.withColumn("mix", F.struct(
         "epoch", "block", "weight",
-        F.least((F.col("epoch") + at + 1e-9) / F.greatest("repeats", F.lit(1e-9)), F.lit(1.0)).alias("position")))
+        F.least((F.col("epoch") + at + 1e-9) / F.greatest("repeats", F.lit(1e-9)), F.lit(1.0)).alias("position"),
+        F.lit(exponent).alias("exponent"), F.lit(reached["entropy"] if reached else None).cast("double").alias("entropy"),
+        F.lit(reached["repeats"] if reached else None).cast("double").alias("repeats")))
     return df.select(*[F.col(f"row.{quoted(c)}").alias(c) for c in kept], "mix")

@@ -89,7 +89,7 @@ def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = mixing.mix_sources(descriptions(spark, sf_dir))
+    df = mixing.mix_sources(descriptions(spark, sf_dir), evenness=mixing.EVENNESS)
     return df.select(F.col("event_id").alias("doc_id"), F.col("data_source").alias("source"), "mix.*")
 
 
