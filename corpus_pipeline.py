@@ -38,8 +38,8 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document at least once, those of small sources up to twice."""
-    mixed = mixing.mix_sources(docs, max_repeats=2.0, event_id="doc_id", source="source", description="text")
+    """Every document at least once, half way from the given shares to equal ones, the smallest sources up to twice."""
+    mixed = mixing.mix_sources(docs, max_repeats=2.0, evenness=mixing.EVENNESS, event_id="doc_id", source="source", description="text")
     return mixed.select(*docs.columns)
 
 
