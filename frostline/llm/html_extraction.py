@@ -13,16 +13,19 @@ from pyspark.sql import types as T
 
 from frostline.llm.columns import arrow_rows, given
 
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:[a-zA-Z/!?](?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(?:[a-zA-Z/!?][^>]*)(?:>|\Z)""", re.S)
+# A quote opens a value only right after the equals sign, as browsers read tags; elsewhere it is a character like others.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[a-zA-Z/!?](?:[^>=]+|=\s*(?:"[^"]*"|'[^']*')|=)*+(?:>|\Z)""", re.S)
 NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9:-]*)")
 MARK = re.compile(r"""\s(class|id|role|hidden|style|aria-label)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 BLANK = re.compile(r"\s+")
 # Elements by what they mean for text.
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "object", "canvas", "select",
+RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "annotation", "annotation-xml", "iframe", "object", "canvas", "select",
        "button", "datalist", "xmp", "noembed", "noframes", "audio", "video", "head"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i",
           "img", "input", "ins", "kbd", "label", "mark", "meter", "nobr", "q", "rp", "rt", "ruby", "s", "samp", "small",
-          "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "link", "meta"}
+          "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "link", "meta",
+          "math", "mfrac", "mi", "mn", "mo", "mover", "mroot", "mrow", "mspace", "msqrt", "mstyle", "msub", "msubsup", "msup",
+          "mtext", "munder", "munderover", "semantics"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 FRAME = {"nav", "footer", "aside", "form", "menu", "dialog", "fieldset"}
 FORMS = {"form", "fieldset"}
@@ -53,7 +56,11 @@ INSIDE_ITEM = {"p", "div", "address"}
 
 
 class Block(NamedTuple):
-    """A run of text without a block boundary, and where it stands."""
+    """A run of text without a block boundary, and where it stands.
+
+    ``held`` is the share of the page's unlinked words that its form, or container with a name that wrappers of whole pages
+    bear, holds: the smallest of them, 1 outside of all.
+    """
 
     text: str
     words: int
@@ -61,13 +68,14 @@ class Block(NamedTuple):
     framed: bool
     main: bool
     heading: bool
+    held: float = 1.0
 
 
 #: What the tree may ask of a block. Density is the share of words inside links.
-FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "framed", "main", "heading")
+FEATURES = ("words", "density", "words_before", "density_before", "words_after", "density_after", "framed", "main", "heading", "held")
 
-#: The labelled table: FEATURES of a block, then 1 for main text and 0 for the rest.
-LABELLED = (
+#: The labelled table: FEATURES of a block but ``held``, which is 1, then 1 for main text and 0 for the rest.
+UNWRAPPED = (
     # Articles: headings, long and short paragraphs, with the blocks around them.
     (9, 0.0, 6, 1.0, 80, 0.0, 0, 1, 1, 1), (6, 0.0, 12, 0.0, 45, 0.0, 0, 1, 1, 1), (4, 0.0, 90, 0.0, 70, 0.0, 0, 1, 1, 1),
     (80, 0.0, 9, 0.0, 60, 0.02, 0, 1, 0, 1), (60, 0.02, 80, 0.0, 3, 0.0, 0, 1, 0, 1), (3, 0.0, 60, 0.02, 120, 0.0, 0, 1, 0, 1),
@@ -90,12 +98,40 @@ LABELLED = (
     (15, 0.0, 80, 0.0, 0, 0.0, 1, 0, 0, 0), (40, 0.0, 60, 0.0, 30, 0.5, 1, 0, 0, 0), (60, 0.0, 12, 0.0, 25, 0.0, 1, 1, 0, 0),
     (8, 0.5, 70, 0.0, 5, 1.0, 1, 1, 0, 0), (3, 0.0, 50, 0.0, 40, 0.0, 1, 1, 1, 0), (120, 0.02, 40, 0.0, 30, 0.0, 1, 0, 0, 0),
     (2, 0.0, 10, 0.0, 0, 0.0, 1, 0, 1, 0), (25, 0.0, 90, 0.0, 80, 0.0, 1, 1, 0, 0), (7, 0.0, 1, 1.0, 60, 0.0, 1, 0, 1, 0),
-    # The same without one.
+    # The same without one: linked blocks among others of that kind, labels of link lists, what stands in menus.
     (1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0), (3, 1.0, 2, 1.0, 60, 0.0, 0, 0, 0, 0), (5, 0.8, 60, 0.0, 4, 1.0, 0, 0, 0, 0),
     (14, 0.9, 3, 1.0, 20, 0.8, 0, 0, 0, 0), (4, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0), (3, 0.0, 5, 1.0, 2, 0.0, 0, 0, 0, 0),
-    (5, 0.0, 3, 0.0, 0, 0.0, 0, 0, 0, 0), (2, 0.0, 4, 0.0, 6, 0.5, 0, 0, 0, 0), (20, 0.7, 40, 0.0, 6, 1.0, 0, 0, 0, 0),
-    (2, 1.0, 0, 0.0, 3, 1.0, 0, 0, 1, 0), (6, 0.5, 0, 0.0, 1, 1.0, 0, 0, 0, 0), (4, 0.0, 1, 1.0, 1, 1.0, 0, 0, 1, 0),
+    (6, 0.5, 0, 0.0, 1, 1.0, 0, 0, 0, 0), (20, 0.7, 40, 0.0, 6, 1.0, 0, 0, 0, 0), (2, 0.0, 1, 1.0, 1, 1.0, 0, 0, 1, 0),
+    (2, 1.0, 0, 0.0, 3, 1.0, 0, 0, 1, 0), (4, 0.0, 1, 1.0, 1, 1.0, 0, 0, 1, 0), (9, 1.0, 7, 1.0, 9, 1.0, 0, 0, 0, 0),
+    (2, 0.0, 50, 0.0, 6, 1.0, 0, 0, 1, 0), (1, 0.0, 60, 0.0, 4, 1.0, 0, 0, 0, 0), (2, 0.0, 1, 1.0, 3, 0.0, 0, 0, 0, 0),
+    (1, 1.0, 40, 0.0, 2, 1.0, 0, 0, 0, 0), (8, 1.0, 12, 0.9, 0, 0.0, 0, 0, 0, 0), (3, 0.0, 0, 0.0, 1, 1.0, 0, 0, 0, 0),
+    # Unlinked sentences and paragraphs whatever stands beside them.
+    (22, 0.0, 1, 1.0, 22, 0.0, 0, 0, 0, 1), (12, 0.0, 3, 1.0, 10, 0.0, 0, 0, 0, 1), (8, 0.0, 1, 1.0, 9, 0.0, 0, 0, 1, 1),
+    (30, 0.0, 2, 1.0, 1, 1.0, 0, 0, 0, 1), (15, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 1), (10, 0.0, 5, 1.0, 4, 1.0, 0, 0, 0, 1),
+    (40, 0.05, 9, 1.0, 12, 1.0, 0, 0, 0, 1), (7, 0.0, 2, 1.0, 20, 0.0, 0, 0, 0, 1), (18, 0.0, 0, 0.0, 1, 1.0, 0, 0, 0, 1),
+    (9, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 1), (75, 0.0, 1, 1.0, 3, 0.0, 0, 0, 0, 1), (26, 0.1, 14, 0.9, 2, 0.0, 0, 0, 0, 1),
+    (11, 0.0, 60, 0.0, 1, 1.0, 0, 0, 0, 1), (16, 0.0, 6, 1.0, 0, 0.0, 0, 0, 0, 1), (50, 0.02, 80, 0.0, 5, 1.0, 0, 0, 0, 1),
+    # Link lists between paragraphs and at the ends of a page.
+    (2, 1.0, 60, 0.0, 1, 1.0, 0, 0, 0, 0), (1, 1.0, 2, 1.0, 45, 0.0, 0, 0, 0, 0), (7, 1.0, 30, 0.0, 8, 1.0, 0, 0, 0, 0),
+    (11, 0.9, 9, 1.0, 50, 0.0, 0, 0, 0, 0), (4, 1.0, 5, 1.0, 0, 0.0, 0, 0, 0, 0), (12, 0.8, 0, 0.0, 10, 1.0, 0, 0, 0, 0),
+    # Short blocks beside unlinked text, or alone on their page: headings, sentences, items, and a link between paragraphs.
+    (4, 0.0, 0, 0.0, 60, 0.0, 0, 0, 1, 1), (4, 0.0, 1, 1.0, 60, 0.0, 0, 0, 1, 1), (5, 0.0, 70, 0.0, 55, 0.05, 0, 0, 0, 1),
+    (3, 0.0, 90, 0.0, 0, 0.0, 0, 0, 0, 1), (2, 0.0, 0, 0.0, 40, 0.0, 0, 0, 1, 1), (5, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1),
+    (1, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (4, 0.0, 30, 0.1, 35, 0.0, 0, 0, 1, 1), (3, 0.0, 60, 0.0, 3, 0.0, 0, 0, 0, 1),
+    (3, 0.0, 2, 0.0, 4, 0.0, 0, 0, 0, 1), (1, 0.0, 3, 0.0, 2, 0.0, 0, 0, 0, 1), (2, 0.0, 4, 0.0, 0, 0.0, 0, 0, 0, 1),
+    (5, 0.0, 50, 0.0, 3, 1.0, 0, 0, 0, 1), (4, 0.0, 80, 0.0, 6, 1.0, 0, 0, 0, 1), (6, 1.0, 45, 0.0, 50, 0.0, 0, 0, 0, 1),
+    (2, 0.0, 1, 1.0, 30, 0.0, 0, 0, 1, 1), (5, 0.0, 12, 0.0, 9, 0.0, 0, 0, 0, 1), (3, 0.2, 20, 0.0, 14, 0.1, 0, 0, 0, 1),
+)
+#: Blocks in a form or a possible wrapper: FEATURES, and the label. One with most of the page's text wraps it; the others,
+#: which hold a search field, a notice or a list, frame their blocks.
+WRAPPED = (
+    (80, 0.0, 70, 0.0, 90, 0.0, 0, 0, 0, 0.6, 1), (9, 0.0, 6, 1.0, 80, 0.0, 0, 0, 1, 0.9, 1), (30, 0.1, 80, 0.0, 3, 0.0, 0, 0, 0, 1.0, 1),
+    (60, 0.0, 9, 0.0, 40, 0.0, 0, 1, 0, 0.7, 1), (4, 0.0, 60, 0.0, 50, 0.0, 0, 1, 0, 0.95, 1), (12, 0.0, 40, 0.0, 45, 0.0, 0, 0, 0, 0.55, 1),
+    (9, 0.0, 6, 1.0, 80, 0.0, 0, 0, 1, 0.1, 0), (40, 0.0, 60, 0.0, 30, 0.5, 0, 0, 0, 0.3, 0), (60, 0.0, 12, 0.0, 25, 0.0, 0, 1, 0, 0.45, 0),
+    (3, 0.0, 60, 0.0, 50, 0.0, 0, 1, 0, 0.02, 0), (25, 0.0, 90, 0.0, 80, 0.0, 0, 1, 0, 0.15, 0), (12, 0.0, 40, 0.0, 45, 0.0, 0, 0, 0, 0.2, 0),
+    (2, 0.0, 0, 0.0, 40, 0.0, 0, 0, 1, 0.01, 0), (90, 0.0, 30, 0.0, 0, 0.0, 0, 0, 0, 0.4, 0),
 )
+LABELLED = tuple((*row[:-1], 1.0, row[-1]) for row in UNWRAPPED) + WRAPPED
 DEPTH, LEAF = 8, 1
 
 
@@ -197,10 +233,10 @@ def _ended(open_: list[tuple], name: str) -> int:
     return stay
 
 
-def _page_wrappers(found: list[Block], inside: list[tuple[int, ...]], forms: set[int]) -> set[int]:
-    """Containers that hold most of the unlinked words of the page: they wrap it and frame nothing.
+def _shares(found: list[Block], inside: list[tuple[int, ...]], forms: set[int]) -> list[Block]:
+    """The blocks with the share of the page's unlinked words that their wrappers hold.
 
-    One that is no form does so only if the page has no marked main text outside of frames.
+    On a page with marked main text outside of frames and wrappers, only forms may wrap it; other wrappers frame.
     """
     held: dict[int, int] = {}
     every, marked = 0, False
@@ -210,14 +246,17 @@ def _page_wrappers(found: list[Block], inside: list[tuple[int, ...]], forms: set
             marked |= block.main and not within
             for k in within:
                 held[k] = held.get(k, 0) + block.words - block.linked
-    return {k for k, words in held.items() if 2 * words > every and (k in forms or not marked)}
+    share = {k: words / max(every, 1) for k, words in held.items()}
+    return [b._replace(framed=b.framed or (marked and not forms.issuperset(within)),
+                       held=min((share.get(k, 0.0) for k in within), default=1.0)) for b, within in zip(found, inside)]
 
 
 def blocks(page: str) -> list[Block]:
     """The flat text blocks of a page in page order.
 
     A paragraph or item left open ends where the next begins, other unclosed or cut elements with what holds them. Forms,
-    and names that wrappers of whole pages bear too, frame their blocks unless they hold most of the page. An article or
+    and names that wrappers of whole pages bear too, may wrap the page; what they hold of it is told. A link reaches over
+    the blocks inside it, to its end or that of the element it stands in. An article or
     main element starts unframed, except in a hidden one; an article also stays framed in a frame's element, or by a
     frame's name within main text.
     """
@@ -228,7 +267,7 @@ def blocks(page: str) -> list[Block]:
     forms: set[int] = set()
     n_wrappers = 0
     text: list[str] = []
-    linked = links = 0
+    linked = links = link_depth = 0
     framed, main, heading = 0, False, False
 
     def close() -> None:
@@ -267,7 +306,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in INLINE:
             if name == "a":
-                links = max(0, links - 1) if ends else 1
+                links, link_depth = (0, 0) if ends else (1, len(open_))
             elif name in ("br", "img", "input"):
                 text.append(" ")
             elif not ends and BLANK.search(tag) and any((marks := _marks(tag))[:2]):
@@ -279,10 +318,10 @@ def blocks(page: str) -> list[Block]:
                 _, framed, wrappers, main = open_.pop()
             continue
         close()
-        links = 0
         if not ends and (stay := _ended(open_, name)) < len(open_):
             _, framed, wrappers, main = open_[stay]
             del open_[stay:]
+            links = links if len(open_) >= link_depth else 0
         heading = not ends and bool(re.fullmatch(r"h[1-6]", name))
         if name in VOID:
             continue
@@ -308,10 +347,10 @@ def blocks(page: str) -> list[Block]:
                 if open_[depth][0] == name:
                     _, framed, wrappers, main = open_[depth]
                     del open_[depth:]
+                    links = links if len(open_) >= link_depth else 0
                     break
     close()
-    whole = _page_wrappers(out, inside, forms)
-    return [b._replace(framed=b.framed or not whole.issuperset(within)) for b, within in zip(out, inside)]
+    return _shares(out, inside, forms)
 
 
 def block_features(found: list[Block]) -> np.ndarray:
@@ -319,7 +358,7 @@ def block_features(found: list[Block]) -> np.ndarray:
     words = np.array([b.words for b in found], float)
     density = np.minimum(np.array([b.linked for b in found], float) / words, 1.0)
     before, after = (lambda v: np.concatenate([[0.0], v[:-1]])), (lambda v: np.concatenate([v[1:], [0.0]]))
-    flags = [np.array([getattr(b, k) for b in found], float) for k in ("framed", "main", "heading")]
+    flags = [np.array([getattr(b, k) for b in found], float) for k in ("framed", "main", "heading", "held")]
     return np.column_stack([words, density, before(words), before(density), after(words), after(density), *flags])
 
 
@@ -336,7 +375,8 @@ def release_texts(pages: DataFrame, html: str = "html") -> DataFrame:
 
     Pages are cut into flat blocks at block elements; scripts, styles, comments and other raw elements hold no text. A
     decision tree fitted to the table ``LABELLED`` judges a block by its words and link density, those of its neighbours,
-    and whether its containers frame the page, hold the article, or are a heading. Kept blocks follow in page order, one
+    whether its containers frame the page or hold the article, whether it is a heading, and how much of the page its
+    wrappers hold. On pages that mark no article, the neighbours decide about short blocks. Kept blocks follow in page order, one
     line each; references are decoded, and white space inside a block becomes one space. Whole pages are read; nothing
     is cut or capped. A null page, an empty one, and one without main text give an empty text. A given column ``text``
     is replaced; all others stay; repeated rows are read each on its own; no row leaves its task.
