@@ -6,8 +6,12 @@ the stored table is bucketed by key hash, so only touched buckets are rewritten.
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import DataStreamWriter
 
 from frostline.functions import weather
@@ -16,6 +20,7 @@ from frostline.session import new_path, remove_path
 from frostline.sources.files import path_exists
 
 BUCKETS = 64
+KEPT = 3
 
 
 def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -28,28 +33,96 @@ def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
 def upsert(batch: DataFrame, path: str, key: str, order: list[str], buckets: int = BUCKETS) -> None:
     """Merge a batch into a stored table of one row per key; only buckets the batch touches are read and rewritten.
 
-    The touched buckets, at most ``buckets`` numbers, go into the partition filter of the stored table; choose their
-    number by the size of the table, a few files' worth each, and keep it. The merged rows are written beside the table
-    before they replace it, so a failed batch can be repeated, and are removed after. Replaying a batch changes nothing.
+    The table is a folder of versions and a folder of numbered manifests; a manifest names for each bucket the version
+    that holds it. New buckets are written beside the old ones, and one small file, put in place by a rename, makes them
+    visible together: a reader sees a batch whole or not at all, and a failed batch leaves the last version as it was and
+    can be repeated. Replaying a batch changes nothing. Of two writers with the same number the second fails. The last
+    ``KEPT`` manifests and what they name stay, for readers that began before.
+
+    The touched buckets, at most ``buckets`` numbers, choose the files that are read; choose their number by the size of
+    the table, a few files' worth each, and keep it.
     """
     spark = batch.sparkSession
     bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    reduced, staged = new_path(spark, "upsert-batch"), new_path(spark, "upsert")
-    latest_per_key(batch, key, order).withColumn("bucket", bucket).write.parquet(reduced)
-    fresh = spark.read.parquet(reduced)
-    if path_exists(spark, path):
-        touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]
-        stored = spark.read.parquet(path).where(F.col("bucket").isin(touched))
-        fresh = latest_per_key(stored.unionByName(fresh), key, order).withColumn("bucket", bucket)
-    fresh.write.parquet(staged)
-    spark.read.parquet(staged).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "bucket").parquet(path)
-    for used in (reduced, staged):
-        remove_path(spark, used)
+    reduced, version = new_path(spark, "upsert-batch"), f"v-{uuid.uuid4().hex}"
+    try:
+        latest_per_key(batch, key, order).withColumn("bucket", bucket).write.parquet(reduced)
+        fresh = spark.read.parquet(reduced)
+        touched = sorted(r["bucket"] for r in fresh.select("bucket").distinct().collect())
+        number, manifest = _manifest(spark, path)
+        held = manifest["buckets"] if manifest else {}
+        old = [f"{path}/data/{held[str(b)]}/bucket={b}" for b in touched if str(b) in held]
+        if old:
+            stored = spark.read.schema(_schema(manifest)).parquet(*old).withColumn("bucket", bucket)
+            fresh = latest_per_key(stored.unionByName(fresh), key, order).withColumn("bucket", bucket)
+        fresh.write.partitionBy("bucket").parquet(f"{path}/data/{version}")
+        named = held | {str(b): version for b in touched}
+        _commit(spark, path, number + 1, {"schema": fresh.drop("bucket").schema.json(), "buckets": named})
+        _clean(spark, path, number + 1)
+    finally:
+        remove_path(spark, reduced)
+
+
+def _schema(manifest: dict) -> T.StructType:
+    return T.StructType.fromJson(json.loads(manifest["schema"]))
 
 
 def read_upserted(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).drop("bucket")
+    """The last committed version of an upserted table."""
+    _, manifest = _manifest(spark, path)
+    schema = _schema(manifest)
+    if not manifest["buckets"]:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*[f"{path}/data/{v}/bucket={b}" for b, v in manifest["buckets"].items()])
+
+
+def _numbers(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the manifests that are there, in order."""
+    if not path_exists(spark, f"{path}/manifests"):
+        return []
+    names = (s.getPath().getName() for s in _files(spark, path).listStatus(_path(spark, f"{path}/manifests")))
+    return sorted(int(n) for n in names if n.isdigit())
+
+
+def _manifest(spark: SparkSession, path: str, number: int | None = None) -> tuple[int, dict | None]:
+    """The manifest of this number, or the last one, with its number; number 0 and none for a new table."""
+    found = _numbers(spark, path)
+    if not found:
+        return 0, None
+    number = found[-1] if number is None else number
+    return number, json.loads(spark.read.text(f"{path}/manifests/{number}", wholetext=True).head()["value"])
+
+
+def _commit(spark: SparkSession, path: str, number: int, manifest: dict) -> None:
+    """Put a manifest in place by a rename, which fails where its number is taken."""
+    files, place = _files(spark, path), f"{path}/manifests/{number}"
+    begun = _path(spark, f"{path}/manifests/_{uuid.uuid4().hex}")
+    out = files.create(begun, False)
+    out.write(bytearray(json.dumps(manifest).encode()))
+    out.close()
+    if path_exists(spark, place) or not files.rename(begun, _path(spark, place)):
+        files.delete(begun, False)
+        raise RuntimeError(f"another batch was committed as {place}")
+
+
+def _clean(spark: SparkSession, path: str, number: int) -> None:
+    """Remove manifests before the last ``KEPT``, and the buckets that only they name; what failed batches left stays."""
+    manifests = {n: _manifest(spark, path, n)[1]["buckets"].items() for n in _numbers(spark, path)}
+    kept = {place for n, named in manifests.items() if n > number - KEPT for place in named}
+    files = _files(spark, path)
+    for n, named in manifests.items():
+        if n <= number - KEPT:
+            for bucket, version in set(named) - kept:
+                files.delete(_path(spark, f"{path}/data/{version}/bucket={bucket}"), True)
+            files.delete(_path(spark, f"{path}/manifests/{n}"), False)
+
+
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _files(spark: SparkSession, path: str):
+    return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
 def snapshot_stream(events: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
