@@ -82,7 +82,7 @@ def test_run_gives_the_last_stage(spark, stages):
 
 
 def test_queries_are_named_by_number():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 @pytest.mark.parametrize("number", [1, 5, 10])
