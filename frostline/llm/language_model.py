@@ -17,11 +17,10 @@ from frostline.llm.packing import text_chunks
 from frostline.llm.shingles import word_lists
 from frostline.session import cut_lineage
 
-STATES, ROUNDS = 10, 4
+STATES, PASSES, TURNS = 10, 3, 32  # passes over all training texts, after one that takes them in TURNS turns
 LEXICON, ENDINGS = 6000, 2048  # frequent words with a symbol of their own; classes of the other words, by their ending
 COUNTED = 100_000  # words whose counts every task holds; the counts of the others are joined
-WARM_ROWS, WARM_ROUNDS = 1500, 12
-WINDOW, TOGETHER = 128, 512
+WINDOW, MARGIN, TOGETHER = 192, 16, 512  # tokens counted in a window, tokens seen on each side of them; windows at a time
 END = ""  # the end of a text, counted as a token; no word is empty
 _TRUST = 2.0  # weight of the overall symbol shares in a state's emissions
 
@@ -32,16 +31,16 @@ class Words(NamedTuple):
     counts: dict[str, int]
     symbols: dict[str, int]
     class_log: np.ndarray  # log10 of tokens + words + 1 of each class of endings
+    shares: np.ndarray  # share of each symbol in the training tokens
     total: int
     distinct: int
     least: int  # words with fewer training tokens are not in ``counts``
 
 
 class Model(NamedTuple):
-    """First-state shares of texts and of later windows, transitions, and emissions (symbol, state)."""
+    """First-state shares, transitions, and emissions (symbol, state)."""
 
     first: np.ndarray
-    later: np.ndarray
     moves: np.ndarray
     emits: np.ndarray
 
@@ -99,11 +98,14 @@ def known_words(counts: DataFrame) -> Words:
                                              ["ending", "tokens", "words"])
 
     sums = counts.mapInArrow(endings, "ending long, tokens long, words long").groupBy("ending").agg(
-        F.sum(F.col("tokens") + F.col("words")).alias("size"))
-    size = np.zeros(ENDINGS)
+        F.sum("tokens").alias("tokens"), F.sum("words").alias("words"))
+    tokens, each = np.zeros(ENDINGS), np.zeros(ENDINGS)
     for r in sums.collect():
-        size[r["ending"]] = r["size"]
-    return Words(dict(pairs), {w: i for i, w in enumerate(lexicon)}, np.log10(size + 1), total, distinct, least)
+        tokens[r["ending"]], each[r["ending"]] = r["tokens"], r["words"]
+    held_counts = dict(pairs)
+    seen = np.concatenate([[held_counts.get(w, 0) for w in lexicon], tokens]) + 0.01
+    return Words(held_counts, {w: i for i, w in enumerate(lexicon)}, np.log10(tokens + each + 1), seen / seen.sum(), total, distinct,
+                 least)
 
 
 def encoded(events: DataFrame, words: Words, event_id: str, description: str, train: str) -> DataFrame:
@@ -161,32 +163,41 @@ def encoded(events: DataFrame, words: Words, event_id: str, description: str, tr
                                  "class_logs double, symbols binary, rest array<struct<word string, tokens long, apart boolean>>")
 
 
-def windows(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(all symbols, start, length, is first) of the windows of whole sequences; every symbol is in one window."""
+def windows(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(all symbols, start, length, lead, stop) of the windows of whole sequences.
+
+    A window counts its places lead to stop; every symbol is counted in one window. Up to MARGIN symbols on either side
+    are seen as well, so that the states at a cut know their neighbours, and the transition over it is counted too.
+    """
     sizes = np.fromiter(map(len, sequences), np.int64, len(sequences))
     offset = np.cumsum(sizes) - sizes
     each = -(-sizes // WINDOW)
     of = np.repeat(np.arange(len(sizes)), each)
-    nth = np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)
-    start = offset[of] + nth * WINDOW
-    return (np.concatenate(sequences).astype(np.int64) if len(sequences) else np.empty(0, np.int64), start,
-            np.minimum(WINDOW, sizes[of] - nth * WINDOW), nth == 0)
+    core = (np.arange(len(of)) - np.repeat(np.cumsum(each) - each, each)) * WINDOW
+    begin, core_end = np.maximum(core - MARGIN, 0), np.minimum(core + WINDOW, sizes[of])
+    return (np.concatenate(sequences).astype(np.int64) if len(sequences) else np.empty(0, np.int64), offset[of] + begin,
+            np.minimum(core_end + MARGIN, sizes[of]) - begin, core - begin, core_end - begin)
+
+
+def settled(moves: np.ndarray) -> np.ndarray:
+    """State shares that the transitions leave as they are; what a window that opens inside a text starts from."""
+    return np.linalg.matrix_power(moves, 256).mean(axis=0)
 
 
 def expected_counts(model: Model, sequences: list[np.ndarray]) -> Model:
     """Expected first states, transitions and emissions of one step, in the shape of the model."""
-    flat, start, length, first = windows(sequences)
+    flat, start, length, lead, stop = windows(sequences)
     order = np.argsort(-length, kind="stable")
-    k, out = len(model.first), Model(*[np.zeros_like(a) for a in model])
+    k, out, inner = len(model.first), Model(*[np.zeros_like(a) for a in model]), settled(model.moves)
     for at in range(0, len(order), TOGETHER):
         some = order[at:at + TOGETHER]
-        begin, size, opens = start[some], length[some], first[some]
+        begin, size, opens = start[some], length[some], lead[some] == 0
         active = [int(n) for n in np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")]
         alphas, scales, emitted, seen = [], [], [], []
         for t, n in enumerate(active):
             symbol = flat[begin[:n] + t]
             e = model.emits[symbol]
-            a = (np.where(opens[:, None], model.first, model.later) if t == 0 else alphas[-1][:n] @ model.moves) * e
+            a = (np.where(opens[:, None], model.first, inner) if t == 0 else alphas[-1][:n] @ model.moves) * e
             scale = a.sum(axis=1, keepdims=True)
             alphas.append(a / scale)
             scales.append(scale)
@@ -196,16 +207,16 @@ def expected_counts(model: Model, sequences: list[np.ndarray]) -> Model:
         moves = np.zeros((k, k))
         for t in range(len(active) - 1, -1, -1):
             n = active[t]
+            counted = ((lead[some[:n]] <= t) & (t < stop[some[:n]]))[:, None]
             if t + 1 < len(active):
                 m = active[t + 1]
                 ahead = emitted[t + 1] * beta / scales[t + 1]
-                moves += alphas[t][:m].T @ ahead
+                moves += alphas[t][:m].T @ (ahead * into)  # transitions into the counted places of the next step
                 beta = np.ones((n, k))
                 beta[:m] = ahead @ model.moves.T
-            gammas[t] = alphas[t] * beta
+            gammas[t], into = alphas[t] * beta * counted, counted
         out.moves[...] += moves * model.moves
         out.first[...] += gammas[0][opens].sum(axis=0)
-        out.later[...] += gammas[0][~opens].sum(axis=0)
         gamma, symbol = np.concatenate(gammas), np.concatenate(seen)
         for s in range(k):
             out.emits[:, s] += np.bincount(symbol, gamma[:, s], len(model.emits))
@@ -220,7 +231,7 @@ def updated(counts: Model, shares: np.ndarray) -> Model:
     def scaled(v):
         return (v + 0.1) / (v + 0.1).sum()
 
-    return Model(scaled(counts.first), scaled(counts.later), moves / moves.sum(axis=1, keepdims=True),
+    return Model(scaled(counts.first), moves / moves.sum(axis=1, keepdims=True),
                  emits / emits.sum(axis=0))
 
 
@@ -228,8 +239,7 @@ def opening_model(shares: np.ndarray, states: int = STATES, seed: int = 11) -> M
     random = np.random.default_rng(seed)
     emits = shares[:, None] * random.gamma(1.0, 1.0, (len(shares), states)) + 1e-9
     moves = np.full((states, states), 1.0) + 2.0 * np.eye(states)
-    even = np.full(states, 1.0 / states)
-    return Model(even, even, moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0))
+    return Model(np.full(states, 1.0 / states), moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0))
 
 
 def log_likelihoods(model: Model, sequences: list[np.ndarray]) -> np.ndarray:
@@ -257,23 +267,17 @@ def _sequences(column: pa.Array) -> list[np.ndarray]:
     return [np.frombuffer(b, "<i2") for b in column.to_pylist()]
 
 
-def baum_welch(texts: DataFrame, n_symbols: int, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    """Train on ``symbols`` of all given texts.
+def baum_welch(texts: DataFrame, shares: np.ndarray, states: int = STATES, passes: int = PASSES) -> Model:
+    """Train on ``row`` and ``symbols`` of all given texts, whose symbols have these shares.
 
-    The first values come from a few rounds over at most WARM_ROWS texts, taken by a hash, on the driver. Each of the
-    ``rounds`` then sums the expected counts of every text over all partitions; states times symbols numbers come back.
+    An opening pass takes the texts in TURNS turns by their row, and each turn moves the model by the expected counts of
+    its own texts. Each of the ``passes`` then sums the expected counts of every text. All sums are taken over all
+    partitions; states times symbols numbers come back. A turn without texts changes nothing.
     """
-    spark = texts.sparkSession
-    few = texts.select("symbols", F.xxhash64("symbols").alias("h")).orderBy("h").limit(WARM_ROWS).select("symbols").toArrow()
-    sample = _sequences(few.column("symbols").combine_chunks()) if few.num_rows else []
-    if not sample:
-        return opening_model(np.full(n_symbols, 1.0 / n_symbols), states)
-    shares = np.bincount(np.concatenate(sample).astype(np.int64), minlength=n_symbols) + 0.01
-    shares = shares / shares.sum()
+    spark, n_symbols = texts.sparkSession, len(shares)
     model = opening_model(shares, states)
-    for _ in range(WARM_ROUNDS):
-        model = updated(expected_counts(model, sample), shares)
-    for _ in range(rounds):
+    turns = [texts.where(F.pmod("row", F.lit(TURNS)) == turn) for turn in range(TURNS)]
+    for some in [*turns, *[texts] * passes]:
         shared = spark.sparkContext.broadcast(model)
 
         def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,20 +291,20 @@ def baum_welch(texts: DataFrame, n_symbols: int, states: int = STATES, rounds: i
                 place = np.flatnonzero(flat > 1e-9)
                 yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(flat[place])], ["place", "n"])
 
-        sums = texts.select("symbols").mapInArrow(expect, "place long, n double").groupBy("place").agg(
+        sums = some.select("symbols").mapInArrow(expect, "place long, n double").groupBy("place").agg(
             F.sum("n").alias("n")).toArrow()
-        flat = np.zeros(2 * states + states ** 2 + n_symbols * states)
+        shared.unpersist()
+        if not sums.num_rows:
+            continue
+        flat = np.zeros(states + states ** 2 + n_symbols * states)
         flat[sums.column("place").to_numpy()] = sums.column("n").to_numpy()
-        cut = np.split(flat, np.cumsum([states, states, states ** 2]))
-        counts = Model(cut[0], cut[1], cut[2].reshape(states, states), cut[3].reshape(n_symbols, states))
-        shares = counts.emits.sum(axis=1) + 0.01
-        shares = shares / shares.sum()
-        model = updated(counts, shares)
+        first, moves, emits = np.split(flat, np.cumsum([states, states ** 2]))
+        model = updated(Model(first, moves.reshape(states, states), emits.reshape(n_symbols, states)), shares)
     return model
 
 
 def language_scores(events: DataFrame, train: str, event_id: str = "event_id", description: str = "description",
-                    states: int = STATES, rounds: int = ROUNDS) -> DataFrame:
+                    states: int = STATES, passes: int = PASSES) -> DataFrame:
     """Score every description by a language model that learns from the rows where the column ``train`` is true.
 
     Result, a row per event: event_id, train, n_tokens, n_known (tokens with c > 0), train_tokens (N), base_score (sum of
@@ -311,7 +315,8 @@ def language_scores(events: DataFrame, train: str, event_id: str = "event_id", d
     States emit symbols: the LEXICON most frequent words, the end, and ENDINGS classes of the other words; a class gives
     one of its words with (c + 1) / (tokens + words + 1) of the class, and leaves the rest to unseen ones. So the state
     tables have a fixed size while the counts grow with the corpus. The forward recursion runs over the whole text;
-    training cuts texts into windows of WINDOW tokens, all of which count.
+    training runs over windows that count WINDOW tokens each and see MARGIN more on both sides, so that every token and every
+    transition of every training text counts once in the opening pass and in each of the ``passes``.
 
     Counts cover all training texts. Those of at most COUNTED frequent words are held by every task, the counts of all
     other words are joined. Null texts are empty and hold only the end; null in ``train`` counts as false; repeated rows
@@ -320,8 +325,7 @@ def language_scores(events: DataFrame, train: str, event_id: str = "event_id", d
     counts = cut_lineage(training_counts(events.where(F.coalesce(F.col(quoted(train)), F.lit(False))), description), "lm-counts")
     words = known_words(counts)
     texts = cut_lineage(encoded(events, words, event_id, description, train), "lm-symbols")
-    n_symbols = len(words.symbols) + ENDINGS
-    shared = events.sparkSession.sparkContext.broadcast(baum_welch(texts.where("train"), n_symbols, states, rounds))
+    shared = events.sparkSession.sparkContext.broadcast(baum_welch(texts.where("train"), words.shares, states, passes))
 
     # The likelihood goes with its row, so that the sums need no second join.
     kept = ["row", "event_id", "train", "n_tokens", "n_known", "log_counts", "class_logs"]
