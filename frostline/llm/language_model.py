@@ -17,10 +17,10 @@ from frostline.llm.packing import text_chunks
 from frostline.llm.shingles import word_lists
 from frostline.session import cut_lineage
 
-STATES, PASSES, TURNS = 10, 3, 32  # passes over all training texts, after one that takes them in TURNS turns
+STATES, PASSES, TURNS = 10, 2, 32  # passes over all training texts, after one that takes them in TURNS turns
 LEXICON, ENDINGS = 6000, 2048  # frequent words with a symbol of their own; classes of the other words, by their ending
 COUNTED = 100_000  # words whose counts every task holds; the counts of the others are joined
-WINDOW, MARGIN, TOGETHER = 192, 16, 512  # tokens counted in a window, tokens seen on each side of them; windows at a time
+WINDOW, MARGIN, TOGETHER = 384, 16, 512  # tokens counted in a window, tokens seen on each side of them; windows at a time
 END = ""  # the end of a text, counted as a token; no word is empty
 _TRUST = 2.0  # weight of the overall symbol shares in a state's emissions
 
