@@ -15,8 +15,9 @@ from frostline.plans.boosting import Forest, Split
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
 
-_LAT = "4.036e1 + cast(({0}) % 1400 as double) / 1.0e4"
-_LNG = "-8.010e1 + cast(({0}) % 2400 as double) / 1.0e4"
+# Six decimals: the steps of a coarse grid, and a place between them.
+_LAT = "4.036e1 + cast(({0}) % 1400 as double) / 1.0e4 + cast((({0}) * 31) % 97 as double) / 1.0e6"
+_LNG = "-8.010e1 + cast(({0}) % 2400 as double) / 1.0e4 + cast((({0}) * 43) % 97 as double) / 1.0e6"
 
 
 def _at(lat_key: str, lng_key: str, lat: str = "latitude", lng: str = "longitude") -> str:

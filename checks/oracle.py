@@ -393,6 +393,8 @@ from ora_turns""",
              ["route_number", "from_location", "to_location", "municipality", "status"]),
             (r"(?i)SR\s+(\d+)\s*\(([^)]+)\).*?(Closed|Restricted|Reduced)", ["route_number", "road_name", "status"]),
             (r"(?i)Route\s+(\d+)\s*\(([^)]+)\).*?(Closed|Restricted|Reduced)", ["route_number", "road_name", "status"])]),
+    "ora_found": "select release_id, route_number, road_name, municipality, upper(left(status, 1)) || lower(substr(status, 2)) as status, from_location, to_location, 'penndot_press' as data_source from ora_closure_text",
+    "ora_first_pass": "select f.* from ora_found f join fx_releases r using (release_id) where r.html not like '% - %'",
     "ora_leading": "select *, row_number() over (partition by forecast_id order by period_no) as no from fx_forecast",
 }
 
@@ -475,6 +477,7 @@ from (select *, recent > 0 as live, recent * exp(-k * h) * greatest(1e-1, 1 - 1e
   select *, max_wind_kmh / 3 - 5 as recent, max_wind_kmh as h, greatest(5e-3, 2e-2 + 1.3e-2 * greatest(case when snowfall_cm > 20 then min_temp_c + 8 else min_temp_c end, 0)) as k from fx_scenarios) a) b""",
     "calibrated_scores": "select * from ora_calibrated",
     "risk_distribution": "select day_offset, risk_category, count(*) as n, round(count(*) / sum(count(*)) over (partition by day_offset) * 100, 4) as share from ora_calibrated group by day_offset, risk_category",
+    "highest_risk_by_day": "select day_offset, objectid, risk_score from fx_predictions qualify row_number() over (partition by day_offset order by risk_score desc, objectid) <= 10",
     "highest_risk": "select objectid, risk_score from fx_predictions where day_offset = 0 order by risk_score desc, objectid limit 10",
     "forecast_summary": f"""select forecast_id, has_snow, snow as total_snowfall_cm, snow as max_daily_snowfall_cm, min_temp_c, max_wind_kmh, cast(1 as bigint) as duration_days, snow as precip_total_mm from (
   select forecast_id, has_snow, round(greatest(case when has_snow then 5.0e0 else 5e-1 end, coalesce(named, 0)), 1) as snow, round(cold, 1) as min_temp_c, round(coalesce(wind, 20), 1) as max_wind_kmh from (
@@ -551,7 +554,10 @@ from fx_alerts where geometry is not null and event <> ''""",
     "column_medians": " union all ".join(
         f"""select '{c}' as "column", quantile_cont(try_cast({c} as double), 5e-1) as median from fx_segments""" for c in ["speedlimit", "num_lanes", "roadwidth"]),
     "first_per_name": "select lower(trim(name)) as key, min(osm_id) as osm_id, arg_min(coalesce(highway_type, '#'), osm_id) as h from fx_roads where name is not null group by 1",
-    "merged_passes": "select distinct route_number, road_name, upper(left(status, 1)) || lower(substr(status, 2)) as status, release_id from ora_closure_text",
+    "merged_passes": """select * from ora_first_pass union all
+select * from (select * from ora_found f where not exists (select 1 from ora_first_pass p where p.release_id = f.release_id and p.route_number = f.route_number
+    and p.road_name = f.road_name and p.status = f.status)
+  qualify row_number() over (partition by release_id, route_number, road_name, status order by municipality, from_location, to_location) = 1) late""",
     "exact_percentiles": "select storm_id, round(quantile_cont(prediction, 2.5e-1), 6) as p25, round(quantile_cont(prediction, 5e-1), 6) as p50, round(quantile_cont(prediction, 7.5e-1), 6) as p75, round(quantile_cont(prediction, 9.9e-1), 6) as p99 from fx_scored group by storm_id",
     "geojson_lines": "select objectid, cast(4 as bigint) as points, streetname, coalesce(domi_class, 'Local') as domi_class, length_m, lat3 as mid_lat, lng3 as mid_lng from fx_lines where length_m <> 0",
     "geojson_midpoints": "select objectid, round((lat1 + lat2 + lat3 + lat4) / 4, 6) as mid_lat, round((lng1 + lng2 + lng3 + lng4) / 4, 6) as mid_lng from fx_lines",
@@ -562,6 +568,7 @@ from fx_alerts where geometry is not null and event <> ''""",
     "daily_arrays": "select date, snowfall_cm, temp_max_c from fx_weather",
     "prediction_features": "select p.day_offset, p.objectid, p.risk_score, p.risk_category from ora_predictions p join fx_lines l using (objectid) where p.day_offset = 0 and p.objectid <> 0",
     "feed_snapshot_stream": "select event_id, user_id, event_type, value from events",
+    "feed_snapshot_compacted": "select event_id, event_type, value from events",
     "feed_latest": "select user_id as event_key, arg_max(event_id, (ts, event_id)) as event_id, arg_max(event_type, (ts, event_id)) as event_type, arg_max(value, (ts, event_id)) as value from events group by user_id",
     "probability_updates": """select segment_id, closure_probability, case when closure_probability < 2.5e-1 then 'open' when closure_probability < 5e-1 then 'low_risk' when closure_probability < 7.5e-1 then 'moderate_risk' else 'closed' end as label,
   round((1 - closure_probability) * 100, 4) as score from (select segment_id, arg_max(closure_probability, (updated_at, seq)) as closure_probability from fx_probabilities group by segment_id) p where closure_probability between 0 and 1""",

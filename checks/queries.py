@@ -329,7 +329,7 @@ def forest_scores(spark, sf):
 
 @query
 def importance_share(spark, sf):
-    """Percent of total per row, on sales per brand instead of a trained model's importances."""
+    """Percent of total per row, on part sizes per brand instead of a trained model's importances."""
     sums = projection(spark, sf, "part").groupBy("p_brand").agg(F.sum("p_size").cast("double").alias("importance"))
     return ranking.share_of_total(sums.withColumnRenamed("p_brand", "feature"), "importance").select(
         "feature", "importance", "importance_pct")
@@ -515,6 +515,11 @@ def highest_risk(spark, sf):
     return scenario.highest_risk(i.predictions.where("day_offset = 0")).select("objectid", "risk_score")
 
 
+@query
+def highest_risk_by_day(spark, sf):
+    return scenario.highest_risk(Inputs(spark, sf).predictions, keys=["day_offset"]).select("day_offset", "objectid", "risk_score")
+
+
 @query
 def forecast_summary(spark, sf):
     return scenario.forecast_summary(Inputs(spark, sf).forecast)
@@ -764,7 +769,7 @@ def merged_passes(spark, sf):
     keys = ["route_number", "road_name", "status", "release_id"]
     whole = texts.closures_in_text(releases, "html", ["release_id"])
     start = texts.closures_in_text(releases.withColumn("html", F.substring_index("html", " - ", 1)), "html", ["release_id"])
-    return cleaning.merge_passes(start, whole, keys).select(*keys)
+    return cleaning.merge_passes(start, whole, keys)
 
 
 @query
@@ -927,6 +932,18 @@ def feed_snapshot_stream(spark, sf):
     return spark.read.parquet(path).select("event_id", "user_id", "event_type", "value")
 
 
+@query
+def feed_snapshot_compacted(spark, sf):
+    """Snapshots of two event types a batch, compacted between the batches; a batch repeated afterwards changes nothing."""
+    i, path = Inputs(spark, sf), new_path(spark, "snapshots-compacted")
+    types = F.pmod(F.crc32(F.coalesce("event_type", F.lit("")).cast("binary")), F.lit(3))
+    rows = i.feed.select("event_id", "event_type", "last_updated", "value")
+    for number in (0, 1, 2, 1):
+        feeds.append_snapshot_batch(rows.where(types == number), number, path)
+        feeds.compact_snapshots(spark, path)
+    return feeds.read_snapshots(spark, path).select("event_id", "event_type", "value")
+
+
 @query
 def feed_latest(spark, sf):
     i = Inputs(spark, sf)

@@ -38,7 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
     if folder:
         return folder.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     if context.applicationId not in _LOCAL_FALLBACK:
         _LOCAL_FALLBACK[context.applicationId] = tempfile.mkdtemp(prefix="frostline-")

@@ -21,6 +21,7 @@ from frostline.sources.files import path_exists
 
 BUCKETS = 64
 KEPT = 3
+FAN_IN = 8
 
 
 def latest_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -125,20 +126,99 @@ def _files(spark: SparkSession, path: str):
     return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def snapshot_stream(events: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+def append_snapshot_batch(batch: DataFrame, number: int, path: str) -> None:
+    """Write a batch as a partition of the stored table, in place of what the same batch wrote before."""
+    batch.dropDuplicates(["event_id", "last_updated"]).withColumns({
+        "fetched_at": F.current_timestamp(), "batch": F.lit(number)}).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
+def snapshot_stream(events: DataFrame, path: str, checkpoint: str, compact_every: int | None = None) -> DataStreamWriter:
     """Append each fetched event with its fetch time, however old its update is.
 
     A batch is a partition of the stored table, so that repeating it replaces its own rows; a (event, update) pair that
-    repeats within a batch is kept once. No state grows with the feed.
+    repeats within a batch is kept once. No state grows with the feed. With ``compact_every``, batches are compacted each
+    time that many have come, and the table is read by ``read_snapshots``. The table belongs to its checkpoint, which
+    numbers the batches.
     """
     def append(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(["event_id", "last_updated"]).withColumns({
-            "fetched_at": F.current_timestamp(), "batch": F.lit(number)}).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        append_snapshot_batch(batch, number, path)
+        if compact_every and (number + 1) % compact_every == 0:
+            compact_snapshots(batch.sparkSession, path)
 
     return events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(append)
 
 
+def _batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the batch partitions that are there, in order."""
+    if not path_exists(spark, path):
+        return []
+    names = (s.getPath().getName() for s in _files(spark, path).listStatus(_path(spark, path)))
+    return sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch="))
+
+
+def _batch_rows(spark: SparkSession, path: str, numbers: list[int]) -> DataFrame:
+    return spark.read.option("basePath", path).option("mergeSchema", True).parquet(*[f"{path}/batch={n}" for n in numbers])
+
+
+def compact_snapshots(spark: SparkSession, path: str, keep: int = 1) -> None:
+    """Put all batches but the newest ``keep`` into segments of few large files; rows and their batch stay as they are.
+
+    A manifest records the segments and the last batch that they hold (``through``). It is put in place by a rename once
+    a segment is written, so a reader sees a batch in its partition or in a segment, never in both or in neither; a
+    compaction that fails leaves the table as it was. A batch repeated later writes its partition again, which nobody
+    reads, since it is not after ``through``. Partitions stay until the next compaction, and segments until ``KEPT`` more,
+    for readers that began before.
+
+    Once ``FAN_IN`` segments of a level are there, they become one of the next level. So a row is written once a level, and
+    the number of segments grows with the logarithm of the number of batches.
+    """
+    home = f"{path}/_compacted"
+    number, manifest = _manifest(spark, home)
+    manifest = manifest or {"through": -1, "segments": []}
+    held, found = manifest["through"], _batches(spark, path)
+    files = _files(spark, path)
+    for n in found:
+        if n <= held:
+            files.delete(_path(spark, f"{path}/batch={n}"), True)
+    fresh = [n for n in found[:len(found) - keep] if n > held]
+    if not fresh:
+        return
+    segments = manifest["segments"]
+    rows, level = _batch_rows(spark, path, fresh), 0
+    while len(same := [s for s in segments if s["level"] == level]) >= FAN_IN - 1:
+        rows = rows.unionByName(_segment_rows(spark, home, same), allowMissingColumns=True)
+        segments = [s for s in segments if s["level"] != level]
+        level += 1
+    version = f"v-{uuid.uuid4().hex}"
+    rows.hint("rebalance").write.parquet(f"{home}/data/{version}")
+    _commit(spark, home, number + 1, {"through": fresh[-1], "segments": [*segments, {"version": version, "level": level}]})
+    manifests = {n: {s["version"] for s in _manifest(spark, home, n)[1]["segments"]} for n in _numbers(spark, home)}
+    needed = set().union(*[named for n, named in manifests.items() if n > number + 1 - KEPT])
+    for n, named in manifests.items():
+        if n <= number + 1 - KEPT:
+            for old in named - needed:
+                files.delete(_path(spark, f"{home}/data/{old}"), True)
+            files.delete(_path(spark, f"{home}/manifests/{n}"), False)
+
+
+def _segment_rows(spark: SparkSession, home: str, segments: list[dict]) -> DataFrame:
+    return spark.read.option("mergeSchema", True).parquet(*[f"{home}/data/{s['version']}" for s in segments])
+
+
+def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
+    """All rows of a snapshot table, compacted or not, with the batch they came in; columns that a batch lacks are null."""
+    _, manifest = _manifest(spark, f"{path}/_compacted")
+    manifest = manifest or {"through": -1, "segments": []}
+    live = [n for n in _batches(spark, path) if n > manifest["through"]]
+    parts = [_batch_rows(spark, path, live)] if live else []
+    if manifest["segments"]:
+        parts.append(_segment_rows(spark, f"{path}/_compacted", manifest["segments"]))
+    if not parts:
+        raise FileNotFoundError(f"no snapshot under {path}")
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1], allowMissingColumns=True)
+
+
 def upsert_stream(rows: DataFrame, path: str, checkpoint: str, key: str, order: list[str]) -> DataStreamWriter:
     return rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(
         lambda batch, _: upsert(batch, path, key, order))

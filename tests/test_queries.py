@@ -19,7 +19,7 @@ COMPARED = [
     "crash_allocation", "closure_flags", "label_profile", "static_features", "season_statistics", "capped_sample",
     "relevance_grades", "average_precision", "calibrated_scores", "forecast_summary", "hourly_scenario", "day_night_pairs",
     "status_counts", "route_risk", "stitched_edges", "safest_routes", "closure_text", "location_text", "geojson_midpoints",
-    "feed_latest_stream", "probability_updates",
+    "feed_latest_stream", "probability_updates", "feed_snapshot_compacted", "merged_passes", "highest_risk_by_day",
 ]
 NO_PAIRING = ["closure_segment_pairs", "conditions_bbox", "segments_near", "complaint_labels", "crash_allocation", "closure_flags",
               "storm_labels", "route_segments", "calibrated_scores", "storm_ranking_metrics"]

@@ -1,0 +1,95 @@
+"""Snapshot tables: compaction of batches, repeats, failures, and readers that began before."""
+
+import datetime as dt
+
+import pytest
+
+from frostline.streaming import feeds
+
+
+def batch(spark, number, extra=False):
+    at = dt.datetime(2024, 1, 1) + dt.timedelta(days=number)
+    rows = [(f"e{number}", at), ("again", dt.datetime(2024, 1, 1))]
+    df = spark.createDataFrame(rows, "event_id string, last_updated timestamp").coalesce(1)
+    return df.selectExpr("*", "'new' as lane") if extra else df
+
+
+def held(df):
+    return sorted((r.batch, r.event_id) for r in df.select("batch", "event_id").collect())
+
+
+def wanted(n):
+    return sorted((k, e) for k in range(n) for e in ("again", f"e{k}"))
+
+
+def test_compaction_keeps_rows_and_repeats_change_nothing(spark, tmp_path):
+    path = str(tmp_path / "s")
+    for k in range(5):
+        feeds.append_snapshot_batch(batch(spark, k), k, path)
+    before = feeds.read_snapshots(spark, path)
+    stamps = {(r.batch, r.event_id): r.fetched_at for r in before.collect()}
+    feeds.compact_snapshots(spark, path)
+    assert held(feeds.read_snapshots(spark, path)) == wanted(5) == held(before)  # also for a reader that began before
+    for k in (2, 4):  # one within the segment, one after it
+        feeds.append_snapshot_batch(batch(spark, k), k, path)
+    feeds.compact_snapshots(spark, path)
+    after = {(r.batch, r.event_id): r.fetched_at for r in feeds.read_snapshots(spark, path).collect()}
+    assert sorted(after) == wanted(5) and all(after[k] == t for k, t in stamps.items() if k[0] != 4)
+    feeds.append_snapshot_batch(batch(spark, 5), 5, path)
+    feeds.compact_snapshots(spark, path, keep=0)
+    feeds.compact_snapshots(spark, path, keep=0)
+    assert held(feeds.read_snapshots(spark, path)) == wanted(6) and not feeds._batches(spark, path)
+
+
+def test_segments_grow_with_the_logarithm(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(feeds, "FAN_IN", 3)
+    path = str(tmp_path / "s")
+    for k in range(14):
+        feeds.append_snapshot_batch(batch(spark, k), k, path)
+        feeds.compact_snapshots(spark, path)
+        _, manifest = feeds._manifest(spark, f"{path}/_compacted")
+        levels = [s["level"] for s in (manifest or {"segments": []})["segments"]]
+        assert all(levels.count(level) < 3 for level in levels) and len(feeds._batches(spark, path)) <= 2
+    assert max(levels) == 2 and held(feeds.read_snapshots(spark, path)) == wanted(14)
+    assert len(feeds._numbers(spark, f"{path}/_compacted")) == feeds.KEPT
+
+
+def test_failed_compaction_leaves_the_table(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "s")
+    for k in range(3):
+        feeds.append_snapshot_batch(batch(spark, k), k, path)
+
+    def fail(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(feeds, "_commit", fail)
+        feeds.compact_snapshots(spark, path)
+    assert held(feeds.read_snapshots(spark, path)) == wanted(3)
+    feeds.compact_snapshots(spark, path)
+    assert held(feeds.read_snapshots(spark, path)) == wanted(3)
+
+
+def test_columns_that_come_later_are_null_before(spark, tmp_path):
+    path = str(tmp_path / "s")
+    for k in range(4):
+        feeds.append_snapshot_batch(batch(spark, k, extra=k > 1), k, path)
+        if k == 2:
+            feeds.compact_snapshots(spark, path)
+    got = {(r.batch, r.lane) for r in feeds.read_snapshots(spark, path).collect()}
+    assert got == {(0, None), (1, None), (2, "new"), (3, "new")}
+    with pytest.raises(FileNotFoundError):
+        feeds.read_snapshots(spark, str(tmp_path / "none"))
+
+
+def test_stream_compacts_as_it_goes(spark, tmp_path):
+    source, path = tmp_path / "in", str(tmp_path / "s")
+    for k in range(5):
+        batch(spark, k).write.parquet(str(source / f"p={k}"))
+    stream = spark.readStream.schema("event_id string, last_updated timestamp").option("maxFilesPerTrigger", 1).parquet(str(source))
+    for _ in range(2):
+        feeds.snapshot_stream(stream, path, str(tmp_path / "c"), compact_every=2).trigger(
+            availableNow=True).start().awaitTermination()
+    got = feeds.read_snapshots(spark, path)
+    assert sorted(r.event_id for r in got.collect()) == sorted(e for _, e in wanted(5))
+    assert feeds._manifest(spark, f"{path}/_compacted")[1]["through"] == 2
