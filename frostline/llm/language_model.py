@@ -206,15 +206,15 @@ def expected_counts(model: Model, sequences: list[np.ndarray]) -> Model:
         gammas, beta = [None] * len(active), np.ones((active[-1], k))
         moves = np.zeros((k, k))
         for t in range(len(active) - 1, -1, -1):
-            n = active[t]
+            n, a = active[t], alphas.pop()
             counted = ((lead[some[:n]] <= t) & (t < stop[some[:n]]))[:, None]
             if t + 1 < len(active):
                 m = active[t + 1]
-                ahead = emitted[t + 1] * beta / scales[t + 1]
-                moves += alphas[t][:m].T @ (ahead * into)  # transitions into the counted places of the next step
+                ahead = emitted.pop() * beta / scales.pop()
+                moves += a[:m].T @ (ahead * into)  # transitions into the counted places of the next step
                 beta = np.ones((n, k))
                 beta[:m] = ahead @ model.moves.T
-            gammas[t], into = alphas[t] * beta * counted, counted
+            gammas[t], into = a * beta * counted, counted
         out.moves[...] += moves * model.moves
         out.first[...] += gammas[0][opens].sum(axis=0)
         gamma, symbol = np.concatenate(gammas), np.concatenate(seen)
